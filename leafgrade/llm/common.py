@@ -177,18 +177,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Rows (node, root): root is the least node that edges (a, b) of longs reach from node.
 
-    Alternates large-star and small-star steps on stored edge tables until nothing changes, so the
-    work is joins and grouped minima over the edges; hot nodes are pre-aggregated before the shuffle.
+    Contracts stars on stored edge tables until every node hangs from its root, so the work is joins
+    and grouped minima over the edges; minima of hot nodes are pre-aggregated before the shuffle.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = stored(e, name)
     if e.isEmpty():
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
-        # Each node hooks to the least node among itself and its neighbours.
+        # Each node, and each of its neighbours, hooks to the least node among it and its neighbours.
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = e.join(least.withColumnRenamed("a", "b"), "b").select(F.col("a").alias("x"), "m")
+        large = both.join(least, "a").select(F.col("b").alias("x"), "m")
         small = least.select(F.col("a").alias("x"), "m")
         new = large.unionAll(small).where("x <> m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
         # A star forest: every node has one edge, and no root is itself below another.
