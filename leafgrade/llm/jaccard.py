@@ -9,10 +9,17 @@ at most n // 4 differ, so at least 1 + m(n) of them are equal: enumerating the b
 every pair. m(n) exceeds the empty bins that a set usually has, so empty bins need a signature only
 in the rare sets with more of them, and the guarantee stays without them.
 
+More is known than that: of the 1 + m(n) equal bins of a pair no more are empty than the smaller set
+has empty bins, so the pair shares at least need(n) = 1 + m(n) - empty signatures. A set of which
+fewer than `need` signatures occur in any other set has no partner and is peeled off before pairs
+are made; texts that merely share a line or a passage go this way.
+
 Signatures leave each task packed by bucket (8 bytes each). Equal sets collapse to one key first, so
 copies are never paired; a bucket yields distinct lists of keys that share a signature. Lists are
-verified in two rounds on exact sets: the first key against each other, then only the pairs whose
-components still differ. Links feed distributed connected components.
+verified in two rounds on exact sets. First the list's first key is compared with each other. Then
+only lists whose keys are still in different components count: short ones give their pairs, long ones
+give pairs of chunks (a few hundred sets each) whose sets are compared inside one task, which emits
+only links between components. Links feed distributed connected components.
 
 Defined cases: null and word-free texts have an empty set, link with nothing and are their own
 component; texts of one to four words are one shingle; repeated rows and copies share a component;
@@ -85,12 +92,14 @@ def _signed(n):
     return n // 4 + 1 + _spare(n)
 
 
-def signatures(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signature and row, for every row and band; sets of fewer than 4 elements equal or match nothing."""
+def signatures(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature and row, for every row and band, and each row's least need over its bands; sets of
+    fewer than 4 elements equal or match nothing."""
     size = np.diff(at)
     lo = np.searchsorted(BAND_HIGH, size)
     hi = np.searchsorted(BAND_LOW, size, side="right") - 1
     sigs, rows = [], []
+    need = np.full(len(size), 65535, np.int64)
     for extra in range(4):
         use = np.flatnonzero((size >= 4) & (lo + extra <= hi))
         if not len(use):
@@ -112,81 +121,94 @@ def signatures(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
         inside = place < signed[owner]
         empty = np.bincount(owner[inside & ~filled], minlength=len(use))
         loud = empty > _spare(-(-4 * n // 5))
+        need[use] = np.minimum(need[use], np.where(loud, 1, np.maximum(1 + _spare(n) - empty, 1)))
         out = np.flatnonzero(inside & (filled | loud[owner]))
         tag = mix((band[owner[out]].astype(np.uint64) << np.uint64(40)) + place[out].astype(np.uint64))
         sigs.append(mix(total[out] + tag))
         rows.append(use[owner[out]])
     if not sigs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(rows)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), need
+    return np.concatenate(sigs), np.concatenate(rows), need
 
 
-def pack(bucket: np.ndarray, key: np.ndarray, value: np.ndarray):
-    """A record batch with a row for each bucket: its keys, how many values each has, and the values."""
+def pack(bucket: np.ndarray, key: np.ndarray, need: np.ndarray, value: np.ndarray):
+    """A record batch with a row for each bucket: its keys, their needs, how many values each has, and the values."""
     order = np.lexsort((key, bucket))
-    bucket, key, value = bucket[order], key[order], value[order]
+    bucket, key, need, value = bucket[order], key[order], need[order], value[order]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    out = ([], [], [], [])
+    out = ([], [], [], [], [])
     for i, j in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
         k = np.flatnonzero(np.append(True, key[i + 1 : j] != key[i : j - 1]))
         out[0].append(int(bucket[i]))
         out[1].append(key[i + k].tobytes())
         out[2].append(np.diff(np.append(k, j - i)).astype(np.uint32).tobytes())
         out[3].append(value[i:j].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "keys", "counts", "sigs"])
+        out[4].append(need[i + k].astype(np.uint16).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "keys", "counts", "sigs", "needs"])
 
 
 def _bucket_signatures(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
-        sig, key, held = [], [], 0
+        held = []
         for _, buf, off in text_batches(batches):
             elements, at = shingle_sets(buf, off)
             keys = set_keys(elements, at)
-            s, r = signatures(elements, at)
-            sig.append(s)
-            key.append(keys[r])
-            held += len(s)
-            if held >= _FLUSH:
-                yield _flush(sig, key, buckets)
-                sig, key, held = [], [], 0
-        if held:
-            yield _flush(sig, key, buckets)
+            s, r, need = signatures(elements, at)
+            held.append((s, keys[r], need[r]))
+            if sum(len(x[0]) for x in held) >= _FLUSH:
+                yield _flush(held, buckets)
+                held = []
+        if any(len(x[0]) for x in held):
+            yield _flush(held, buckets)
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, counts binary, sigs binary")
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, counts binary, sigs binary, needs binary")
 
 
-def _flush(sig: list, key: list, buckets: int):
-    s, k = np.concatenate(sig), np.concatenate(key)
+def _flush(held: list, buckets: int):
+    s, k, need = (np.concatenate(x) for x in zip(*held, strict=True))
     bucket = ((s >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((k, s))
-    s, k, bucket = s[order], k[order], bucket[order]
+    s, k, need, bucket = s[order], k[order], need[order], bucket[order]
     new = np.append(True, (s[1:] != s[:-1]) | (k[1:] != k[:-1]))  # copies in one task sign once
-    return pack(bucket[new], k[new], s[new])
+    return pack(bucket[new], k[new], need[new], s[new])
 
 
 def _shared_lists(table: pa.Table) -> pa.Table:
-    """The distinct lists of two or more keys that share a signature of this bucket."""
-    key = np.concatenate([np.repeat(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)])
-    sig = np.concatenate([np.frombuffer(s, np.uint64) for s in table.column("sigs").to_pylist()])
+    """The distinct lists of two or more keys that share a signature of this bucket, each with the number of such signatures."""
+    get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    counts = get("counts", np.uint32)
+    key = np.concatenate([np.repeat(k, c) for k, c in zip(get("keys", np.uint64), counts, strict=True)])
+    need = np.concatenate([np.repeat(k, c) for k, c in zip(get("needs", np.uint16), counts, strict=True)])
+    sig = np.concatenate(get("sigs", np.uint64))
     # Most signatures occur once; they go before the sort by both columns.
     order = np.argsort(sig, kind="stable")
-    sig, key = sig[order], key[order]
+    sig, key, need = sig[order], key[order], need[order]
     same = sig[1:] == sig[:-1]
     many = np.append(same, False) | np.append(False, same)
-    sig, key = sig[many], key[many]
+    sig, key, need = sig[many], key[many], need[many]
     order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
+    sig, key, need = sig[order], key[order], need[order]
     new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])) if len(sig) else np.zeros(0, bool)
-    sig, key = sig[new], key[new]
+    sig, key, need = sig[new], key[new], need[new]
     cut = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.append(cut, len(sig)))
     total = np.append(np.uint64(0), np.cumsum(mix(key)))
     name = mix((total[cut + size] - total[cut]) + size.astype(np.uint64)) if len(cut) else np.zeros(0, np.uint64)
     name[size < 2] = 0
-    kept, where = np.unique(name, return_index=True)
-    where = where[kept != 0]
+    kept, where, times = np.unique(name, return_index=True, return_counts=True)
+    where, times = where[kept != 0], times[kept != 0]
     lists = [key[cut[w] : cut[w] + size[w]].view(np.int64) for w in where]
-    return pa.table({"name": pa.array(name[where].view(np.int64)), "members": pa.array(lists, pa.list_(pa.int64()))})
+    needs = [need[cut[w] : cut[w] + size[w]].astype(np.int32) for w in where]
+    return pa.table({"name": pa.array(name[where].view(np.int64)), "times": pa.array(times.astype(np.int64)), "members": pa.array(lists, pa.list_(pa.int64())), "needs": pa.array(needs, pa.list_(pa.int32()))})
+
+
+def _peeled(lists: DataFrame, name: str) -> DataFrame:
+    """The lists without keys that occur in fewer shared signatures than they need."""
+    each = lists.select("name", "times", F.explode(F.arrays_zip("members", "needs")).alias("x")).select("name", "times", F.col("x.members").alias("key"), F.col("x.needs").alias("need"))
+    able = each.groupBy("key").agg(F.sum("times").alias("n"), F.min("need").alias("need")).where("n >= need").select("key")
+    left = each.join(able, "key", "left_semi").groupBy("name").agg(F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("key", "need"))).alias("x")).where(F.size("x") > 1)
+    left = left.select("times", F.col("x.key").alias("members"), F.col("x.need").alias("needs"))
+    return stored(left.groupBy(F.xxhash64("members").alias("name")).agg(F.sum("times").alias("times"), F.first("members").alias("members"), F.first("needs").alias("needs")), name)
 
 
 def _key_filter(keys: DataFrame, count: int) -> np.ndarray:
@@ -241,7 +263,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of keys whose sets are similar; every pair is compared on whole sets."""
-    pairs = stored(pairs, f"{name}-pairs")
+    pairs = stored(pairs, f"{name}-pairs") if name.endswith("2") else pairs
     if pairs.isEmpty():
         return pairs
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
@@ -272,25 +294,91 @@ def _linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return stored(both.mapInArrow(run, "a long, b long"), f"{name}-links")
 
 
-def _open_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of a list whose keys are in different components, but for those of its first key."""
-    long = lists.where(F.size("members") > 2)
-    each = long.select("name", F.posexplode("members").alias("pos", "key"))
-    each = each.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("name", "pos", "key", F.coalesce("root", "key").alias("root"))
-    torn = each.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array_sort(F.collect_list(F.struct("pos", "key", "root"))).alias("m")).where("lo <> hi").select("m")
+#: Lists of up to so many keys give pairs; longer ones are compared in chunks of about CHUNK sets or CHUNK_BYTES.
+SHORT, CHUNK, CHUNK_BYTES = 6, 256, 2 << 20
+
 
+def _torn(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Lists (name, m: [(key, root)]) that touch several components."""
+    each = lists.select("name", F.explode("members").alias("key"))
+    each = each.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("name", "key", F.coalesce("root", "key").alias("root"))
+    return each.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array_sort(F.collect_list(F.struct("key", "root"))).alias("m")).where("lo <> hi").select("name", "m")
+
+
+def _short_pairs(torn: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = batch.column(0)
-            for i in range(len(rows)):
-                m = rows[i].values
-                key, root = m.field("key").to_numpy(), m.field("root").to_numpy()
-                for p in range(1, len(key) - 1):
-                    q = p + 1 + np.flatnonzero(root[p + 1 :] != root[p])
-                    if len(q):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), key[p])), pa.array(key[q])], ["a", "b"])
-
-    return torn.mapInArrow(run, "a long, b long").distinct()
+            a, b = [], []
+            for m in batch.column(0).to_pylist():
+                for i in range(1, len(m)):
+                    for j in range(1, i):
+                        if m[i]["root"] != m[j]["root"]:
+                            a.append(m[j]["key"])
+                            b.append(m[i]["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return torn.where(F.size("m") <= SHORT).select("m").mapInArrow(run, "a long, b long").distinct()
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between components among the sets of two chunks, as far as they join components."""
+    key, root = table.column("key").to_numpy(), table.column("root").to_numpy()
+    where = np.unique(key, return_index=True)[1]
+    sets = [_unpack(table.column("elements")[int(i)].as_py()) for i in where]
+    key, root = key[where], root[where]
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[element] > 1
+    owner, element = owner[shared], element[shared]
+    element = np.unique(element, return_inverse=True)[1]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    top = int(element[-1]) + 1 if len(element) else 0
+    for at in range(0, top, width):
+        i, j = np.searchsorted(element, [at, at + width])
+        some = np.zeros((len(sets), width), np.float32)
+        some[owner[i:j], element[i:j] - at] = 1
+        common += some @ some.T
+    both = size[:, None] + size[None, :]
+    near = np.triu(DENOMINATOR * common >= NUMERATOR * (both - common), 1) & (root[:, None] != root[None, :])
+    parent = {int(r): int(r) for r in root}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    a, b = [], []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        x, y = find(int(root[i])), find(int(root[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            a.append(key[i])
+            b.append(key[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _chunk_links(torn: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the components of long lists."""
+    long = torn.where(F.size("m") > SHORT)
+    each = stored(long.select("name", F.explode("m").alias("x")).select("name", F.col("x.key").alias("key"), F.col("x.root").alias("root")), "jaccard-long")
+    if each.isEmpty():
+        return each.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    keys = stored(each.select("key", "root").distinct(), "jaccard-long-keys")
+    sets = stored(_wanted_sets(docs, _key_filter(keys.select("key"), keys.count())).join(keys, "key"), "jaccard-long-sets")
+    family = components(long.select(F.element_at("m.key", 1).alias("a"), F.explode(F.slice("m.key", F.lit(2), F.size("m"))).alias("b")), "jaccard-families")
+    family = stored(family.select(F.col("node").alias("key"), F.col("root").alias("family")), "jaccard-family")
+    extent = sets.select("key", F.length("elements").alias("bytes")).join(family, "key").groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).alias("chunks"))
+    chunk = stored(family.join(extent, "family").select("key", F.xxhash64("family", F.pmod(F.xxhash64("key"), F.col("chunks"))).alias("chunk")), "jaccard-chunks")
+    held = each.join(chunk, "key").groupBy("name").agg(F.array_sort(F.collect_set("chunk")).alias("c")).select("c").distinct()
+    pairs = held.select(F.posexplode("c").alias("i", "x"), "c").select("x", F.explode(F.slice("c", F.col("i") + 1, F.size("c"))).alias("y")).distinct()
+    sides = pairs.withColumn("task", F.xxhash64("x", "y")).select("task", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"))
+    work = stored(sides, "jaccard-tasks").join(stored(sets.join(chunk, "key"), "jaccard-chunk-sets"), "chunk").select("task", "key", "root", "elements")
+    return stored(work.groupBy("task").applyInArrow(_block_links, "a long, b long"), "jaccard-chunk-links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -309,12 +397,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     rows = stored(source.mapInArrow(describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key long"), "jaccard-docs")
     buckets = 8 * shuffle_partitions(spark)
-    lists = _bucket_signatures(source, buckets).groupBy("bucket").applyInArrow(_shared_lists, "name long, members array<long>").dropDuplicates(["name"])
-    lists = stored(lists, "jaccard-lists")
+    lists = _bucket_signatures(source, buckets).groupBy("bucket").applyInArrow(_shared_lists, "name long, times long, members array<long>, needs array<int>")
+    lists = stored(lists.groupBy("name").agg(F.sum("times").alias("times"), F.first("members").alias("members"), F.first("needs").alias("needs")), "jaccard-lists")
+    lists = _peeled(_peeled(lists, "jaccard-peeled-1"), "jaccard-peeled-2")
     star = lists.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
+    star = stored(star, "jaccard-star")
     links = _linked(star, source, "jaccard-1")
     groups = stored(components(links), "jaccard-groups")
-    more = _linked(_open_pairs(lists, groups), source, "jaccard-2")
+    torn = stored(_torn(lists, groups), "jaccard-torn")
+    more = _linked(_short_pairs(torn), source, "jaccard-2").unionAll(_chunk_links(torn, source))
     groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     every = links.unionAll(more)
     degree = every.select(F.col("a").alias("k")).unionAll(every.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n_links"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontaminate
+from .jaccard import op4_jaccard
 from .language import op1_language
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op7_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op4_jaccard, op7_decontaminate)}
 
 #: Word lists in list functions; windows found by an equality join on runs of words.
 _OP7_SQL = r"""
