@@ -6,9 +6,10 @@ from .decontaminate import op7_decontaminate
 from .jaccard import op4_jaccard
 from .language import op1_language
 from .suffix_dedup import op10_suffix_dedup
+from .token_files import op3_token_files
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op4_jaccard, op7_decontaminate, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_token_files, op4_jaccard, op7_decontaminate, op10_suffix_dedup)}
 
 #: Word lists in list functions; windows found by an equality join on runs of words.
 _OP7_SQL = r"""
