@@ -299,10 +299,10 @@ SHORT, CHUNK, CHUNK_BYTES = 6, 256, 2 << 20
 
 
 def _torn(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Lists (name, m: [(key, root)]) that touch several components."""
-    each = lists.select("name", F.explode("members").alias("key"))
-    each = each.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("name", "key", F.coalesce("root", "key").alias("root"))
-    return each.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array_sort(F.collect_list(F.struct("key", "root"))).alias("m")).where("lo <> hi").select("name", "m")
+    """Lists (name, times, m: [(key, root)]) that touch several components."""
+    each = lists.select("name", "times", F.explode("members").alias("key"))
+    each = each.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("name", "times", "key", F.coalesce("root", "key").alias("root"))
+    return each.groupBy("name").agg(F.first("times").alias("times"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.array_sort(F.collect_list(F.struct("key", "root"))).alias("m")).where("lo <> hi").select("name", "times", "m")
 
 
 def _short_pairs(torn: DataFrame) -> DataFrame:
@@ -370,8 +370,12 @@ def _chunk_links(torn: DataFrame, docs: DataFrame) -> DataFrame:
         return each.select(F.col("key").alias("a"), F.col("key").alias("b"))
     keys = stored(each.select("key", "root").distinct(), "jaccard-long-keys")
     sets = stored(_wanted_sets(docs, _key_filter(keys.select("key"), keys.count())).join(keys, "key"), "jaccard-long-sets")
-    family = components(long.select(F.element_at("m.key", 1).alias("a"), F.explode(F.slice("m.key", F.lit(2), F.size("m"))).alias("b")), "jaccard-families")
-    family = stored(family.select(F.col("node").alias("key"), F.col("root").alias("family")), "jaccard-family")
+    # A key's family is the first key of the list that holds most of its signatures, one step further
+    # where that key has another; steps are not followed to their end, so families don't chain up.
+    step = each.join(long.select("name", "times", F.element_at("m.key", 1).alias("hub")), "name").groupBy("key", "hub").agg(F.sum("times").alias("times")).groupBy("key").agg(F.max_by("hub", F.struct("times", "hub")).alias("family"))
+    step = stored(step, "jaccard-steps")
+    further = step.select(F.col("key").alias("family"), F.col("family").alias("next"))
+    family = stored(step.join(further, "family", "left").select("key", F.coalesce("next", "family").alias("family")), "jaccard-family")
     extent = sets.select("key", F.length("elements").alias("bytes")).join(family, "key").groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).alias("chunks"))
     chunk = stored(family.join(extent, "family").select("key", F.xxhash64("family", F.pmod(F.xxhash64("key"), F.col("chunks"))).alias("chunk")), "jaccard-chunks")
     held = each.join(chunk, "key").groupBy("name").agg(F.array_sort(F.collect_set("chunk")).alias("c")).select("c").distinct()
