@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from .arc_warc import op8_warc
 from .decontaminate import op7_decontaminate
 from .jaccard import op4_jaccard
 from .language import op1_language
+from .sentencepiece_bpe import op6_sentencepiece
 from .suffix_dedup import op10_suffix_dedup
 from .token_files import op3_token_files
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_token_files, op4_jaccard, op7_decontaminate, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_token_files, op4_jaccard, op6_sentencepiece, op7_decontaminate, op8_warc, op10_suffix_dedup)}
 
 #: Word lists in list functions; windows found by an equality join on runs of words.
 _OP7_SQL = r"""
@@ -37,4 +39,18 @@ WITH d AS (
 SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM all_docs
 """
 
-ORACLE_SQL = {"op7_decontaminate": _OP7_SQL}
+#: Base32 of the digest's bits, five at a time.
+_OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hx FROM pages
+), b AS (
+  SELECT page_id, h, hx, array_to_string(list_transform(string_split(hx, ''), lambda c: list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], strpos('0123456789abcdef', c))), '') AS bits FROM p
+), m AS (
+  SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, i * 5 + 1, 1) AS INT) + 8 * CAST(substr(bits, i * 5 + 2, 1) AS INT) + 4 * CAST(substr(bits, i * 5 + 3, 1) AS INT) + 2 * CAST(substr(bits, i * 5 + 4, 1) AS INT) + CAST(substr(bits, i * 5 + 5, 1) AS INT), 1)), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY hx) AS r FROM b
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = r THEN NULL ELSE r END AS refers_to FROM m
+"""
+
+ORACLE_SQL = {"op8_warc": _OP8_SQL, "op7_decontaminate": _OP7_SQL}
