@@ -6,12 +6,14 @@ from .arc_warc import op8_warc
 from .decontaminate import op7_decontaminate
 from .jaccard import op4_jaccard
 from .language import op1_language
+from .mjpeg import op5_mjpeg
 from .sentencepiece_bpe import op6_sentencepiece
 from .suffix_dedup import op10_suffix_dedup
 from .token_files import op3_token_files
+from .token_counts import op9_token_counts
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_token_files, op4_jaccard, op6_sentencepiece, op7_decontaminate, op8_warc, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_token_files, op4_jaccard, op5_mjpeg, op6_sentencepiece, op7_decontaminate, op8_warc, op9_token_counts, op10_suffix_dedup)}
 
 #: Word lists in list functions; windows found by an equality join on runs of words.
 _OP7_SQL = r"""
