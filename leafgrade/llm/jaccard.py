@@ -295,7 +295,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 
 
 #: Lists of up to so many keys give pairs; longer ones are compared in chunks of about CHUNK sets or CHUNK_BYTES.
-SHORT, CHUNK, CHUNK_BYTES = 6, 256, 2 << 20
+SHORT, CHUNK, CHUNK_BYTES = 6, 1024, 8 << 20
 
 
 def _torn(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     top = int(element[-1]) + 1 if len(element) else 0
     for at in range(0, top, width):
         i, j = np.searchsorted(element, [at, at + width])
-        some = np.zeros((len(sets), width), np.float32)
+        some = np.zeros((len(sets), min(width, top - at)), np.float32)
         some[owner[i:j], element[i:j] - at] = 1
         common += some @ some.T
     both = size[:, None] + size[None, :]
@@ -370,14 +370,17 @@ def _chunk_links(torn: DataFrame, docs: DataFrame) -> DataFrame:
         return each.select(F.col("key").alias("a"), F.col("key").alias("b"))
     keys = stored(each.select("key", "root").distinct(), "jaccard-long-keys")
     sets = stored(_wanted_sets(docs, _key_filter(keys.select("key"), keys.count())).join(keys, "key"), "jaccard-long-sets")
-    # A key's family is the first key of the list that holds most of its signatures, one step further
-    # where that key has another; steps are not followed to their end, so families don't chain up.
-    step = each.join(long.select("name", "times", F.element_at("m.key", 1).alias("hub")), "name").groupBy("key", "hub").agg(F.sum("times").alias("times")).groupBy("key").agg(F.max_by("hub", F.struct("times", "hub")).alias("family"))
-    step = stored(step, "jaccard-steps")
-    further = step.select(F.col("key").alias("family"), F.col("family").alias("next"))
-    family = stored(step.join(further, "family", "left").select("key", F.coalesce("next", "family").alias("family")), "jaccard-family")
+    # A key's hub is the least key that it shares a list with. Four steps from hub
+    # to hub name its family; they are not followed to their end, so families don't chain up.
+    hub = each.join(long.select("name", F.element_at("m.key", 1).alias("hub")), "name").groupBy("key").agg(F.min("hub").alias("hub"))
+    hub = stored(hub, "jaccard-hubs")
+    family = hub.withColumn("family", F.col("hub"))
+    for _ in range(2):
+        further = family.select(F.col("key").alias("family"), F.col("family").alias("next"))
+        family = stored(family.join(further, "family", "left").select("key", "hub", F.coalesce("next", "family").alias("family")), "jaccard-family")
+    # Chunks of a large family keep the keys of one hub together.
     extent = sets.select("key", F.length("elements").alias("bytes")).join(family, "key").groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).alias("chunks"))
-    chunk = stored(family.join(extent, "family").select("key", F.xxhash64("family", F.pmod(F.xxhash64("key"), F.col("chunks"))).alias("chunk")), "jaccard-chunks")
+    chunk = stored(family.join(extent, "family").select("key", F.xxhash64("family", F.pmod(F.xxhash64("hub"), F.col("chunks"))).alias("chunk")), "jaccard-chunks")
     held = each.join(chunk, "key").groupBy("name").agg(F.array_sort(F.collect_set("chunk")).alias("c")).select("c").distinct()
     pairs = held.select(F.posexplode("c").alias("i", "x"), "c").select("x", F.explode(F.slice("c", F.col("i") + 1, F.size("c"))).alias("y")).distinct()
     sides = pairs.withColumn("task", F.xxhash64("x", "y")).select("task", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"))

@@ -372,7 +372,8 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def without_repeats(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Columns `keep`, n_bytes, n_removed, n_spans, kept (binary) and removed (begin and end, flat) for every row."""
+    """Columns `keep`, n_bytes, n_removed, n_spans, kept (binary), kept_text (kept without the
+    remains of characters that a cut went through) and removed (begin and end, flat) for every row."""
     keep = keep or ["doc_id"]
     named = docs.select(F.xxhash64("doc_id", "text").alias("rid"), *keep, *(["text"] if "text" not in keep else []))
     spans = repeated_spans(named, length, gram)
@@ -396,10 +397,10 @@ def without_repeats(docs: DataFrame, keep: list[str] | None = None, length: int
                     kept.append(rest)
                     removed.append(flat)
                 cols = [part.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.int64()))], [*keep, "n_bytes", "n_removed", "n_spans", "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(removed, pa.list_(pa.int64()))], [*keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return both.mapInArrow(run, schema + ", n_bytes long, n_removed long, n_spans long, kept binary, removed array<long>")
+    return both.mapInArrow(run, schema + ", n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, removed array<long>")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
