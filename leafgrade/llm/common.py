@@ -174,6 +174,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def key_filter(keys: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of one hash over a column of longs, of at most 8 MB whatever the input; it only
+    spares later shuffles rows, so false positives (many, once it is full) cost time and not results."""
+    bits = 1 << min(26, max(16, int(16 * max(count, 1)).bit_length()))
+    block = 1 << 13
+
+    def run(batches):
+        have = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            p = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(20)) & np.uint64(bits - 1)
+            np.bitwise_or.at(have, (p >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)))
+        used = [i for i in range(0, len(have), block) if have[i : i + block].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([have[i : i + block].tobytes() for i in used], pa.binary())], ["at", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+        return pa.table({"at": table.column("at").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in keys.mapInArrow(run, "at int, bits binary").groupBy("at").applyInArrow(join, "at int, bits binary").toArrow().to_pylist():
+        out[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a key_filter lets each key (64 bits) through."""
+    p = (keys.view(np.uint64) >> np.uint64(20)) & np.uint64(8 * len(bits) - 1)
+    return ((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Rows (node, root): root is the least node that edges (a, b) of longs reach from node.
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, chain, components, mix, shuffle_partitions, starts_of, stored, text_batches, words
+from .common import SPACE_WORDS, chain, components, key_filter, may_hold, mix, shuffle_partitions, starts_of, stored, text_batches, words
 
 SHINGLE = 5
 #: Similarity as a fraction; the bounds of the module text hold for these.
@@ -211,42 +211,16 @@ def _peeled(lists: DataFrame, name: str) -> DataFrame:
     return stored(left.groupBy(F.xxhash64("members").alias("name")).agg(F.sum("times").alias("times"), F.first("members").alias("members"), F.first("needs").alias("needs")), name)
 
 
-def _key_filter(keys: DataFrame, count: int) -> np.ndarray:
-    """A Bloom filter of one hash over a column `key`, of at most 8 MB whatever the input; it only
-    spares later shuffles rows, so false positives (many, once it is full) cost time and not results."""
-    bits = 1 << min(26, max(16, int(16 * max(count, 1)).bit_length()))
-    block = 1 << 13
-
-    def run(batches):
-        have = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            p = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(20)) & np.uint64(bits - 1)
-            np.bitwise_or.at(have, (p >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)))
-        used = [i for i in range(0, len(have), block) if have[i : i + block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([have[i : i + block].tobytes() for i in used], pa.binary())], ["at", "bits"])
-
-    def join(table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
-        return pa.table({"at": table.column("at").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
-
-    out = np.zeros(bits // 8, np.uint8)
-    for r in keys.mapInArrow(run, "at int, bits binary").groupBy("at").applyInArrow(join, "at int, bits binary").toArrow().to_pylist():
-        out[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def _wanted_sets(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
     """Rows (key, elements): one packed set for each distinct key that the filter lets through."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches):
         bits = shared.value
-        mask = np.uint64(8 * len(bits) - 1)
         for _, buf, off in text_batches(batches):
             elements, at = shingle_sets(buf, off)
             key = set_keys(elements, at)
-            p = (key >> np.uint64(20)) & mask
-            hit = np.flatnonzero((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
+            hit = np.flatnonzero(may_hold(bits, key))
             hit = hit[np.unique(key[hit], return_index=True)[1]]
             # The upper 48 bits of sorted hashes.
             data = [elements[at[i] : at[i + 1]].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for i in hit]
@@ -268,7 +242,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
         return pairs
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
     keys = stored(keys, f"{name}-keys")
-    sets = stored(_wanted_sets(docs, _key_filter(keys, keys.count())).join(keys, "key", "left_semi"), f"{name}-sets")
+    sets = stored(_wanted_sets(docs, key_filter(keys, keys.count())).join(keys, "key", "left_semi"), f"{name}-sets")
     one = pairs.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
     both = one.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").select("a", "b", "ea", "eb")
 
@@ -369,7 +343,7 @@ def _chunk_links(torn: DataFrame, docs: DataFrame) -> DataFrame:
     if each.isEmpty():
         return each.select(F.col("key").alias("a"), F.col("key").alias("b"))
     keys = stored(each.select("key", "root").distinct(), "jaccard-long-keys")
-    sets = stored(_wanted_sets(docs, _key_filter(keys.select("key"), keys.count())).join(keys, "key"), "jaccard-long-sets")
+    sets = stored(_wanted_sets(docs, key_filter(keys.select("key"), keys.count())).join(keys, "key"), "jaccard-long-sets")
     # A key's hub is the least key that it shares a list with. Four steps from hub
     # to hub name its family; they are not followed to their end, so families don't chain up.
     hub = each.join(long.select("name", F.element_at("m.key", 1).alias("hub")), "name").groupBy("key").agg(F.min("hub").alias("hub"))

@@ -1,7 +1,9 @@
 """Repeated-passage removal by the common-prefix interval tree of an enhanced suffix array.
 
-The tree itself (maximal_repeats) takes the bytes of some fragments: it sorts their suffixes by prefix
-doubling, derives common-prefix lengths from the ranks of the doublings, and scans them with a stack.
+The tree itself (maximal_repeats) takes the bytes of some fragments, sorts their suffixes, derives the
+common-prefix lengths of neighbours, and scans them with a stack. Where fragments are little longer than
+`length`, the array is sparse: it holds the suffixes whose first `length` bytes occur twice (by hash),
+which are sorted by that prefix and the bytes after it; else all suffixes by prefix doubling.
 An interval whose suffixes are preceded by different bytes (or by a fragment's start) is a maximal
 repeat, given with all its occurrences. Neighbours with the same preceding byte are folded before the
 scan, as no interval inside such a run can be left-diverse.
@@ -25,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, mix, powers, shuffle_partitions, stored, text_batches
+from .common import BYTE_CODE, key_filter, may_hold, mix, powers, shuffle_partitions, stored, text_batches
 
 LENGTH = 400
 GRAM = 32
 #: Different fragments of one anchor up to which the suffix array takes them together.
 HOT = 1500
+#: Steps of the distance between an anchor and a string's begin, for the contexts.
+CONTEXTS = 8
 #: Bytes of fragments that one suffix array holds, about.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 18
 _FLUSH = 400_000
 
 
@@ -50,12 +54,18 @@ def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, position, bytes to the left and right, anchor hash and fragment hash of every anchor."""
+    """Row, position, bytes to the left and right, anchor hash, fragment hash and context hashes of every anchor.
+
+    Two equal strings around one anchor agree on L bytes to its left and R to its right with
+    L + R >= length - gram. If L lies in the i-th of CONTEXTS steps they share at least the bytes from
+    the step's begin on the left to length - gram less the step's end on the right: context i. An
+    occurrence none of whose contexts occurs elsewhere has no repeat around it.
+    """
     w = length - gram + 1
     n = len(buf)
     e = np.zeros(0, np.int64)
     if n < length or not (np.diff(off) >= length).any():
-        return e, e, e, e, e.astype(np.uint64), e.astype(np.uint64)
+        return e, e, e, e, e.astype(np.uint64), e.astype(np.uint64), np.zeros((0, CONTEXTS), np.uint32)
     up, down = powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
@@ -76,7 +86,14 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     right = np.minimum(off[row + 1] - p - gram, w - 1)
     begin, stop = p - left, p + gram + right
     fragment = mix((total[stop] - total[begin]) * down[begin] + mix(((left << 20) + right).astype(np.uint64)))
-    return row, p - off[row], left, right, mix(h[p]), fragment
+    contexts = np.zeros((len(p), CONTEXTS), np.uint32)
+    steps = np.linspace(0, w, CONTEXTS + 1).astype(np.int64)
+    for i in range(CONTEXTS):
+        far = w - steps[i + 1]
+        ok = np.flatnonzero((left >= steps[i]) & (right >= far))
+        b, t = p[ok] - steps[i], p[ok] + gram + far
+        contexts[ok, i] = np.maximum(mix((total[t] - total[b]) * down[b] + np.uint64(i)) >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+    return row, p - off[row], left, right, mix(h[p]), fragment, contexts
 
 
 def _suffix_array(text: np.ndarray, owner_end: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,16 +156,69 @@ def maximal_repeats(fragments: list[bytes], length: int = LENGTH) -> list[tuple[
     return [(size, list(zip(which.tolist(), at.tolist(), strict=True))) for size, which, at in _repeats(fragments, length)]
 
 
-def _repeats(fragments: list[bytes], length: int):
+def _sparse_array(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, places: np.ndarray | None, length: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order and common prefixes of the suffixes whose first `length` bytes occur twice.
+
+    places names the origin of each byte: of suffixes of one origin, that with most bytes behind it stays.
+    """
+    n = len(text)
+    starts = np.maximum(sizes - length + 1, 0)
+    at = np.repeat(begins - np.append(0, np.cumsum(starts))[:-1], starts) + np.arange(starts.sum())
+    room = np.repeat(begins + sizes, starts) - at
+    up, down = powers(n + 1)
+    total = np.append(np.uint64(0), np.cumsum(BYTE_CODE[text] * up[:n]))
+    if places is not None and len(at):
+        order = np.lexsort((-room, places[at]))
+        kept = order[np.append(True, places[at[order]][1:] != places[at[order]][:-1])]
+        at, room = at[kept], room[kept]
+    h = (total[at + length] - total[at]) * down[at]
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    order = order[np.append(same, False) | np.append(False, same)] if len(h) else order
+    if not len(order):
+        return order, order
+    at, room, h = at[order], room[order] - length, h[order]
+    group = np.cumsum(np.append(False, h[1:] != h[:-1])) if len(h) else h.astype(np.int64)
+    width = -(-rest // 8) * 8 + 8
+    rows = np.zeros((len(at), 8 + width), np.uint8)
+    rows[:, :8] = (group + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
+    cells = at[:, None] + length + np.arange(rest)
+    rows[:, 8 : 8 + rest] = np.where(np.arange(rest) < room[:, None], text[np.minimum(cells, n - 1)], 0)
+    order = np.argsort(rows.view(f"S{8 + width}").reshape(-1), kind="stable")
+    at, room, group, words = at[order], room[order], group[order], rows[order, 8:].copy().view(np.uint64)
+    unequal = words[1:] != words[:-1]
+    word = np.where(unequal.any(axis=1), unequal.argmax(axis=1), width // 8 - 1)
+    i = np.arange(len(word))
+    a, b = (words.view(np.uint8).reshape(len(at), -1, 8)[k, word] for k in (i + 1, i))
+    bytes_ = a != b
+    common = 8 * word + np.where(bytes_.any(axis=1), bytes_.argmax(axis=1), 8)
+    lcp = np.zeros(len(at), np.int64)
+    lcp[1:] = np.where(group[1:] == group[:-1], length + np.minimum(common, np.minimum(room[1:], room[:-1])), 0)
+    return at, lcp
+
+
+def _repeats(fragments: list[bytes], length: int, origin: np.ndarray | None = None, offset: np.ndarray | None = None):
+    """(size, fragments, offsets) of every maximal repeat. With origin and offset, bytes of equal origin
+    and place are one byte, so overlapping fragments of a text don't repeat each other."""
     sizes = np.array([len(f) for f in fragments], np.int64)
     text = np.frombuffer(b"".join(fragments), np.uint8)
     n = len(text)
-    if n < 2:
+    if n < 2 or not (sizes >= length).any():
         return
     ends = np.cumsum(sizes)
     begins = ends - sizes
     owner = np.repeat(np.arange(len(fragments)), sizes)
-    order, lcp = _suffix_array(text, ends[owner], int(sizes.max()))
+    rest = int(sizes.max()) - length
+    places = None
+    if origin is not None:
+        _, number = np.unique(origin, return_inverse=True)
+        places = (number[owner].astype(np.int64) << 40) + offset[owner] + np.arange(n) - begins[owner]
+    if places is not None or (rest <= 512 and (text != 0).all()):
+        order, lcp = _sparse_array(text, begins, sizes, places, length, max(rest, 1))
+    else:
+        order, lcp = _suffix_array(text, ends[owner], int(sizes.max()))
+    if len(order) < 2:
+        return
     before = np.where(order == begins[owner[order]], -1 - owner[order], text[order - 1].astype(np.int64))
     # Positions 1..n-1 of lcp join neighbours. Kept are the joins of unlike neighbours and, of the joins
     # between two of them, those lower than all on one side: no other join bounds a left-diverse interval.
@@ -202,9 +272,9 @@ def _anchor_buckets(source: DataFrame, buckets: int, length: int, gram: int) ->
     def run(batches):
         held, count = [], 0
         for part, buf, off in text_batches(batches):
-            row, p, left, right, a, f = anchors(buf, off, length, gram)
+            row, p, left, right, a, f, c = anchors(buf, off, length, gram)
             rid = part.column(0).to_numpy(zero_copy_only=False).view(np.int64)
-            held.append((a, f, rid[row], p, left, right))
+            held.append((a, f, rid[row], p, left, right, c))
             count += len(p)
             if count >= _FLUSH:
                 yield _packed(held, buckets)
@@ -212,33 +282,47 @@ def _anchor_buckets(source: DataFrame, buckets: int, length: int, gram: int) ->
         if count:
             yield _packed(held, buckets)
 
-    return source.mapInArrow(run, "bucket int, a binary, f binary, r binary, x binary")
+    return source.mapInArrow(run, "bucket int, a binary, f binary, r binary, x binary, c binary")
 
 
 def _packed(held: list, buckets: int):
-    a, f, r, p, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+    a, f, r, p, left, right, c = (np.concatenate(x) for x in zip(*held, strict=True))
     bucket = ((a >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     x = np.stack([p, left, right], 1)[order].astype(np.int32)
-    a, f, r = a[order], f[order], r[order]
+    a, f, r, c = a[order], f[order], r[order], c[order]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     at = list(zip(cut, np.append(cut[1:], len(bucket)), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *(pa.array([v[i:j].tobytes() for i, j in at], pa.binary()) for v in (a, f, r, x))], ["bucket", "a", "f", "r", "x"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *(pa.array([v[i:j].tobytes() for i, j in at], pa.binary()) for v in (a, f, r, x, c))], ["bucket", "a", "f", "r", "x", "c"])
 
 
 def _shared_anchors(length: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         """Spans of fragments that occur twice or more (anchor null), and fragments to be fetched."""
         get = lambda c, kind: np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()])
-        a, f, r, x = get("a", np.uint64), get("f", np.uint64), get("r", np.int64), get("x", np.int32).reshape(-1, 3)
+        a, f, r, x, c = get("a", np.uint64), get("f", np.uint64), get("r", np.int64), get("x", np.int32).reshape(-1, 3), get("c", np.uint32).reshape(-1, CONTEXTS)
         order = np.argsort(a, kind="stable")
         a = a[order]
         many = np.append(a[1:] == a[:-1], False) | np.append(False, a[1:] == a[:-1]) if len(a) else np.zeros(0, bool)
         order, a = order[many], a[many]
-        f, r, x = f[order], r[order], x[order]
+        f, r, x, c = f[order], r[order], x[order], c[order]
+        w = length - gram + 1
+        steps = np.linspace(0, w, CONTEXTS + 1).astype(np.int64)
+        near = np.zeros(len(a), bool)
+        far_left, far_right = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        for i in range(CONTEXTS):
+            at = np.flatnonzero(c[:, i])
+            v = mix(a[at] + c[at, i].astype(np.uint64))
+            by = np.argsort(v, kind="stable")
+            same = v[by[1:]] == v[by[:-1]]
+            hit = at[np.union1d(by[1:][same], by[:-1][same])]
+            near[hit] = True
+            far_left[hit] = np.maximum(far_left[hit], steps[i + 1])
+            far_right[hit] = np.maximum(far_right[hit], w - steps[i])
+        a, f, r, x, far_left, far_right = a[near], f[near], r[near], x[near], far_left[near], far_right[near]
         order = np.lexsort((x[:, 0], r, f, a))
-        a, f, r, x = a[order], f[order], r[order], x[order]
+        a, f, r, x, far_left, far_right = a[order], f[order], r[order], x[order], far_left[order], far_right[order]
         head = np.append(True, (a[1:] != a[:-1]) | (f[1:] != f[:-1])) if len(a) else np.zeros(0, bool)
         group = np.cumsum(head) - 1
         times = np.bincount(group) if len(a) else np.zeros(0, int)
@@ -251,8 +335,11 @@ def _shared_anchors(length: int, gram: int):
         fetch = np.flatnonzero(head & (distinct > 1) & whole)
         i = np.concatenate([span, fetch])
         anchor = pa.array(np.concatenate([np.zeros(len(span), np.int64), a[fetch].view(np.int64)]), mask=np.arange(len(i)) < len(span))
-        begin = x[i, 0] - x[i, 1]
-        return pa.table({"rid": pa.array(r[i]), "begin": pa.array(begin.astype(np.int64)), "size": pa.array((x[i, 1] + x[i, 2] + gram).astype(np.int64)), "anchor": anchor, "n": pa.array(np.concatenate([np.zeros(len(span)), distinct[fetch]]).astype(np.int64))})
+        # What is fetched reaches no further than the contexts that occur elsewhere.
+        left, right = x[i, 1].astype(np.int64), x[i, 2].astype(np.int64)
+        cut = np.arange(len(i)) >= len(span)
+        left[cut], right[cut] = np.minimum(left, far_left[i])[cut], np.minimum(right, far_right[i])[cut]
+        return pa.table({"rid": pa.array(r[i]), "begin": pa.array(x[i, 0] - left), "size": pa.array(left + right + gram), "anchor": anchor, "n": pa.array(np.concatenate([np.zeros(len(span)), distinct[fetch]]).astype(np.int64))})
 
     return run
 
@@ -260,18 +347,9 @@ def _shared_anchors(length: int, gram: int):
 def _fragment_repeats(length: int):
     def run(table: pa.Table) -> pa.Table:
         """Spans of one bucket's fragments that maximal repeats cover."""
-        # Fragments of one text that touch are joined, so that no byte meets itself.
-        data, rid, begin = [], [], []
-        for r, b, d in sorted(zip(table.column("rid").to_pylist(), table.column("begin").to_pylist(), table.column("data").to_pylist(), strict=True), key=lambda x: x[:2]):
-            if rid and rid[-1] == r and b <= begin[-1] + len(data[-1]):
-                data[-1] += d[begin[-1] + len(data[-1]) - b :]
-            else:
-                data.append(d)
-                rid.append(r)
-                begin.append(b)
-        rid, begin = np.array(rid), np.array(begin)
+        data, rid, begin = table.column("data").to_pylist(), table.column("rid").to_numpy(), table.column("begin").to_numpy()
         r, b, s = [], [], []
-        for size, which, at in _repeats(data, length):
+        for size, which, at in _repeats(data, length, rid, begin):
             r.append(rid[which])
             b.append(begin[which] + at)
             s.append(np.full(len(which), size))
@@ -348,7 +426,14 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     total = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first().b
     if total:
         asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("begin", "size", "anchor", "n")).alias("asked"))
-        texts = source.join(wanted.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
+        rids = stored(wanted.select("rid").distinct(), "suffix-rids")
+        bloom = spark.sparkContext.broadcast(key_filter(rids, rids.count()))
+
+        def sift(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(may_hold(bloom.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.int64))))
+
+        texts = source.mapInArrow(sift, "rid long, text string").dropDuplicates(["rid"])
 
         def cut(batches):
             for batch in batches:
