@@ -12,6 +12,7 @@ the order of a hash of their text; repeated rows repeat; an empty table writes n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -25,11 +26,21 @@ from . import rans
 from .common import scratch, shuffle_partitions, stored, text_batches
 
 FILE_TOKENS = 3_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
+
+
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A comma or full stop that follows a letter and ends a word is a pre-token of its own; where none
+#: follows anything else, plain replacement finds them.
+_STOP = re.compile(rb"(?<=[a-z])([,.])(?= )")
+_OTHER_STOP = re.compile(rb"[^a-z][,.] ")
+#: A word that no text's word holds as a part unless it is encoded alone; its ids mark where words end.
+_MARK = "\x01"
 
 
 class WordTokenizer:
-    """encode(texts) equals the library's encode of each whole text, for vocabularies that drop spaces."""
+    """encode(texts) equals the library's encode of each whole text, for vocabularies that drop spaces and
+    lower-case letters and whose pre-tokens are runs of letters, single numbers and runs of other signs."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,19 +48,54 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.mark = self.library.encode(_MARK, add_special_tokens=False).ids
+        self.cache: dict[bytes, bytes] = {b"": b""}
+
+    def _learn(self, new: list[bytes]) -> None:
+        alone = [w for w in new if b"\x01" in w]
+        many = [w for w in new if b"\x01" not in w] if len(self.mark) == 1 else []
+        if len(self.mark) != 1:
+            alone = new
+        groups = [many[at : at + 200] for at in range(0, len(many), 200)]
+        joined = [f" {_MARK} ".join([w.decode("utf-8", "replace") for w in some]) for some in groups]
+        for some, coded in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, np.uint32)
+            cut = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
+            if len(cut) != len(some):
+                alone += some
+                continue
+            begin = 0
+            for w, end in zip(some, cut.tolist(), strict=True):
+                self.cache[w] = ids[begin:end].tobytes()
+                begin = end + 1
+        for w in alone:
+            self.cache[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = list({w for s in split for w in s if w not in cache})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([cache[w] for w in s]), np.uint32) for s in split]
+            self.cache = {b"": b""}
+        words, at = [], [0]
+        for t in texts:
+            raw = t.encode("utf-8", "replace").translate(_LOWER).replace(b"\n", b" ")
+            raw = _STOP.sub(rb" \1", raw) if _OTHER_STOP.search(raw) else raw.replace(b", ", b" , ").replace(b". ", b" . ")
+            words += raw.split(b" ")
+            at.append(len(words))
+        got = list(map(self.cache.get, words))
+        if None in got:
+            self._learn(sorted({w for w, g in zip(words, got, strict=True) if g is None}))
+            get = self.cache.get
+            got = [get(w) if g is None else g for w, g in zip(words, got, strict=True)]
+        return [np.frombuffer(b"".join(got[i:j]), np.uint32) for i, j in zip(at, at[1:], strict=False)]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer, with its cache, for each Python worker."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def _put(fs: pyarrow.fs.FileSystem, path: str, data: bytes) -> None:
@@ -69,7 +115,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def run(batches):
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_at(tokenizer_path)
         end = np.array([end_id], np.uint32)
         docs, sizes, ids, count, before, k = [], [], [], 0, 0, 0
 
