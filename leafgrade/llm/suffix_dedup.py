@@ -178,20 +178,40 @@ def _sparse_array(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, place
     if not len(order):
         return order, order
     at, room, h = at[order], room[order] - length, h[order]
-    group = np.cumsum(np.append(False, h[1:] != h[:-1])) if len(h) else h.astype(np.int64)
+    # Groups of equal prefixes are sorted a batch at a time, so that memory holds the bytes of one batch.
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+    padded = np.append(text, np.zeros(length + rest, np.uint8))
+    behind = np.lib.stride_tricks.sliding_window_view(padded, rest)
+    out_at, out_lcp = [], []
+    i = 0
+    while i < len(at):
+        j = int(head[min(np.searchsorted(head, i + _BATCH), len(head) - 1)])
+        j = len(at) if j <= i else j
+        a, c = _sorted_batch(behind, at[i:j], room[i:j], group[i:j], length, rest)
+        out_at.append(a)
+        out_lcp.append(c)
+        i = j
+    return np.concatenate(out_at), np.concatenate(out_lcp)
+
+
+_BATCH = 1 << 15
+
+
+def _sorted_batch(behind: np.ndarray, at: np.ndarray, room: np.ndarray, group: np.ndarray, length: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
     width = -(-rest // 8) * 8 + 8
     rows = np.zeros((len(at), 8 + width), np.uint8)
     rows[:, :8] = (group + 1).astype(">u8").view(np.uint8).reshape(-1, 8)
-    cells = at[:, None] + length + np.arange(rest)
-    rows[:, 8 : 8 + rest] = np.where(np.arange(rest) < room[:, None], text[np.minimum(cells, n - 1)], 0)
+    rows[:, 8 : 8 + rest] = behind[at + length]
+    rows[:, 8 : 8 + rest] *= np.arange(rest) < room[:, None]
     order = np.argsort(rows.view(f"S{8 + width}").reshape(-1), kind="stable")
     at, room, group, words = at[order], room[order], group[order], rows[order, 8:].copy().view(np.uint64)
     unequal = words[1:] != words[:-1]
     word = np.where(unequal.any(axis=1), unequal.argmax(axis=1), width // 8 - 1)
     i = np.arange(len(word))
     a, b = (words.view(np.uint8).reshape(len(at), -1, 8)[k, word] for k in (i + 1, i))
-    bytes_ = a != b
-    common = 8 * word + np.where(bytes_.any(axis=1), bytes_.argmax(axis=1), 8)
+    differ = a != b
+    common = 8 * word + np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
     lcp = np.zeros(len(at), np.int64)
     lcp[1:] = np.where(group[1:] == group[:-1], length + np.minimum(common, np.minimum(room[1:], room[:-1])), 0)
     return at, lcp
