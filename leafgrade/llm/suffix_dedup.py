@@ -392,7 +392,7 @@ def _fragment_repeats(length: int):
 def _string_hashes(length: int, buckets: int):
     def run(batches):
         """Hashes of all strings of `length` bytes in fragments, packed by bucket."""
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
             data = batch.column(2).to_pylist()
             rid, begin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             h, r, p = [], [], []
