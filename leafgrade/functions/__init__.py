@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column functions: tokens, page signals, text transforms, diagnostics."""

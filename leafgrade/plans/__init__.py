@@ -1 +1 @@
-"""See the README for what lives here."""
+"""The registered queries over the reference's operators, each with its DuckDB statement."""
