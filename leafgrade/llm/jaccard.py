@@ -14,9 +14,9 @@ has empty bins, so the pair shares at least need(n) = 1 + m(n) - empty signature
 fewer than `need` signatures occur in any other set has no partner and is peeled off before pairs
 are made; texts that merely share a line or a passage go this way.
 
-Signatures leave each task packed by bucket (8 bytes each). Equal sets collapse to one key first, so
+Signatures leave each task packed by bucket (6 bytes each). Equal sets collapse to one key first, so
 copies are never paired; a bucket yields distinct lists of keys that share a signature. Lists are
-verified in two rounds on exact sets. First the list's first key is compared with each other. Then
+verified in two rounds on exact sets. First each key is compared with the key that leads most of its lists. Then
 only lists whose keys are still in different components count: short ones give their pairs, long ones
 give pairs of chunks (a few hundred sets each) whose sets are compared inside one task, which emits
 only links between components. Links feed distributed connected components.
@@ -132,18 +132,24 @@ def signatures(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def pack(bucket: np.ndarray, key: np.ndarray, need: np.ndarray, value: np.ndarray):
-    """A record batch with a row for each bucket: its keys, their needs, how many values each has, and the values."""
+    """A record batch with a row for each bucket: its keys, their needs (255 at most), how many values
+    each has, and the lower 6 bytes of the values. A key with over 255 values there is repeated."""
     order = np.lexsort((key, bucket))
-    bucket, key, need, value = bucket[order], key[order], need[order], value[order]
+    bucket, key, need, value = bucket[order], key[order], np.minimum(need[order], 255), value[order]
+    low = value.view(np.uint8).reshape(-1, 8)[:, :6]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     out = ([], [], [], [], [])
     for i, j in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
         k = np.flatnonzero(np.append(True, key[i + 1 : j] != key[i : j - 1]))
+        n = np.diff(np.append(k, j - i))
+        if n.max() > 255:
+            k = np.concatenate([np.arange(a, a + m, 255) for a, m in zip(k, n, strict=True)])
+            n = np.diff(np.append(k, j - i))
         out[0].append(int(bucket[i]))
         out[1].append(key[i + k].tobytes())
-        out[2].append(np.diff(np.append(k, j - i)).astype(np.uint32).tobytes())
-        out[3].append(value[i:j].tobytes())
-        out[4].append(need[i + k].astype(np.uint16).tobytes())
+        out[2].append(n.astype(np.uint8).tobytes())
+        out[3].append(low[i:j].tobytes())
+        out[4].append(need[i + k].astype(np.uint8).tobytes())
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "keys", "counts", "sigs", "needs"])
 
 
@@ -176,10 +182,13 @@ def _flush(held: list, buckets: int):
 def _shared_lists(table: pa.Table) -> pa.Table:
     """The distinct lists of two or more keys that share a signature of this bucket, each with the number of such signatures."""
     get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    counts = get("counts", np.uint32)
+    counts = get("counts", np.uint8)
     key = np.concatenate([np.repeat(k, c) for k, c in zip(get("keys", np.uint64), counts, strict=True)])
-    need = np.concatenate([np.repeat(k, c) for k, c in zip(get("needs", np.uint16), counts, strict=True)])
-    sig = np.concatenate(get("sigs", np.uint64))
+    need = np.concatenate([np.repeat(k, c) for k, c in zip(get("needs", np.uint8), counts, strict=True)])
+    low = np.concatenate(get("sigs", np.uint8)).reshape(-1, 6)
+    sig = np.zeros((len(low), 8), np.uint8)
+    sig[:, :6] = low
+    sig = sig.reshape(-1).view(np.uint64)
     # Most signatures occur once; they go before the sort by both columns.
     order = np.argsort(sig, kind="stable")
     sig, key, need = sig[order], key[order], need[order]
@@ -285,7 +294,7 @@ def _short_pairs(torn: DataFrame) -> DataFrame:
             a, b = [], []
             for m in batch.column(0).to_pylist():
                 for i in range(1, len(m)):
-                    for j in range(1, i):
+                    for j in range(i):
                         if m[i]["root"] != m[j]["root"]:
                             a.append(m[j]["key"])
                             b.append(m[i]["key"])
@@ -377,16 +386,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(set_keys(elements, at).view(np.int64))], ["doc_id", "n_shingles", "set_key"])
 
     rows = stored(source.mapInArrow(describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key long"), "jaccard-docs")
-    buckets = 8 * shuffle_partitions(spark)
+    buckets = shuffle_partitions(spark)
     lists = _bucket_signatures(source, buckets).groupBy("bucket").applyInArrow(_shared_lists, "name long, times long, members array<long>, needs array<int>")
     lists = stored(lists.groupBy("name").agg(F.sum("times").alias("times"), F.first("members").alias("members"), F.first("needs").alias("needs")), "jaccard-lists")
     lists = _peeled(_peeled(lists, "jaccard-peeled-1"), "jaccard-peeled-2")
-    star = lists.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
+    # The first pair of a key is that with the first key of the lists that hold most of its signatures.
+    each = lists.select("times", F.element_at("members", 1).alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b"))
+    star = each.groupBy("a", "b").agg(F.sum("times").alias("n")).groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b")
     star = stored(star, "jaccard-star")
     links = _linked(star, source, "jaccard-1")
     groups = stored(components(links), "jaccard-groups")
     torn = stored(_torn(lists, groups), "jaccard-torn")
-    more = _linked(_short_pairs(torn), source, "jaccard-2").unionAll(_chunk_links(torn, source))
+    more = _linked(_short_pairs(torn).join(star, ["a", "b"], "left_anti"), source, "jaccard-2").unionAll(_chunk_links(torn, source))
     groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     every = links.unionAll(more)
     degree = every.select(F.col("a").alias("k")).unionAll(every.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n_links"))
