@@ -8,12 +8,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import lexicon as L
 from .tokens import SPACE, stripped
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
@@ -42,7 +43,7 @@ def _join_pair(m: re.Match) -> str:
     return f"{left}-{right}" if keep else left + right
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _dehyphenate_chains(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None else re.sub(r"(\w+)-\n(\w+)", _join_pair, x))
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import PurePosixPath
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -18,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as pages (filename, page_number from 0, text): a source is a file, doc_id gives the order."""
     order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("filename"), (F.row_number().over(order) - 1).alias("page_number"), "text", "doc_id")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("filename"), (F.row_number().over(order) - 1).cast("long").alias("page_number"), "text", "doc_id")
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
@@ -59,7 +55,7 @@ def with_custom_words(vocab: DataFrame, custom: DataFrame) -> DataFrame:
     return vocab.select("word").union(custom.select(F.lower(F.trim("word")).alias("word"))).where("word <> ''").distinct()
 
 
-MANIFEST = T.StructType.fromDDL("documents array<struct<id:string,title:string,author:string,language:array<string>,page_count:int,selected_pages:struct<difficult:array<int>,regression:array<int>>,ground_truth_pages:map<string,string>>>")
+MANIFEST = "documents array<struct<id:string,title:string,author:string,language:array<string>,page_count:int,selected_pages:struct<difficult:array<int>,regression:array<int>>,ground_truth_pages:map<string,string>>>"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -70,9 +66,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(path, multiLine=True).select(F.explode("documents").alias("d")).select("d.*")
 
 
-SIDECAR = T.StructType.fromDDL(
-    "version string, filename string, generated_at string, pages array<struct<page_number:int,quality_score:double,engine:string,flagged:boolean,status:string,diagnostics:struct<struggle_categories:array<string>,has_signal_disagreement:boolean>>>"
-)
+SIDECAR = "version string, filename string, generated_at string, pages array<struct<page_number:int,quality_score:double,engine:string,flagged:boolean,status:string,diagnostics:struct<struggle_categories:array<string>,has_signal_disagreement:boolean>>>"
 
 
 def sidecars(spark: SparkSession, path: str, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,11 +94,3 @@ def file_text(pages: DataFrame) -> DataFrame:
     """Whole texts by file: pages in order, joined by a line break."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p.text)
     return pages.groupBy("filename").agg(F.array_join(ordered, "\n").alias("text"), F.count("*").alias("page_count"))
-
-
-def json_ready(value: dict) -> str:
-    return json.dumps(value, indent=2)
-
-
-def local_stem(path: str) -> str:
-    return PurePosixPath(path).stem
