@@ -170,6 +170,13 @@ def text_batches(batches, text: str = "text", most: int = STEP_BYTES):
             yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows where the session has Spark's default: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, chain, components, key_filter, may_hold, mix, shuffle_partitions, starts_of, stored, text_batches, words
+from .common import SPACE_WORDS, bound_batches, chain, components, key_filter, may_hold, mix, shuffle_partitions, starts_of, stored, text_batches, words
 
 SHINGLE = 5
 #: Similarity as a fraction; the bounds of the module text hold for these.
@@ -378,6 +378,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of its component; copies are not expanded into pairs.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select("doc_id", "text")
 
     def describe(batches):

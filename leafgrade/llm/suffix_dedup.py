@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, key_filter, may_hold, mix, powers, shuffle_partitions, stored, text_batches
+from .common import BYTE_CODE, bound_batches, key_filter, may_hold, mix, powers, shuffle_partitions, stored, text_batches
 
 LENGTH = 400
 GRAM = 32
 #: Different fragments of one anchor up to which the suffix array takes them together.
-HOT = 1500
+HOT = 500
 #: Steps of the distance between an anchor and a string's begin, for the contexts.
 CONTEXTS = 8
 #: Bytes of fragments that one suffix array holds, about.
-ARRAY_BYTES = 1 << 18
+ARRAY_BYTES = 1 << 17
 _FLUSH = 400_000
 
 
@@ -195,7 +195,7 @@ def _sparse_array(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, place
     return np.concatenate(out_at), np.concatenate(out_lcp)
 
 
-_BATCH = 1 << 15
+_BATCH = 1 << 13
 
 
 def _sorted_batch(behind: np.ndarray, at: np.ndarray, room: np.ndarray, group: np.ndarray, length: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +291,7 @@ def _anchor_buckets(source: DataFrame, buckets: int, length: int, gram: int) ->
 
     def run(batches):
         held, count = [], 0
-        for part, buf, off in text_batches(batches):
+        for part, buf, off in text_batches(batches, most=1 << 19):
             row, p, left, right, a, f, c = anchors(buf, off, length, gram)
             rid = part.column(0).to_numpy(zero_copy_only=False).view(np.int64)
             held.append((a, f, rid[row], p, left, right, c))
@@ -437,6 +437,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     source has columns rid (a long that tells texts apart) and text.
     """
     spark = source.sparkSession
+    bound_batches(spark)
     parts = shuffle_partitions(spark)
     source = source.select("rid", "text")
     found = _anchor_buckets(source, 4 * parts, length, gram).groupBy("bucket").applyInArrow(_shared_anchors(length, gram), "rid long, begin long, size long, anchor long, n long")
