@@ -57,7 +57,7 @@ def dehyphenate(text: Column, chains: bool = False) -> tuple[Column, Column]:
     kept = F.regexp_replace(names, _CAPITALS, "$1-$2")
     if chains:
         out = _dehyphenate_chains(text)
-        lost = F.length(text) - F.length(out) - F.regexp_count(text, F.lit(r"(?U)\w-\n\w")) + F.regexp_count(out, F.lit(r"(?U)\w-\n\w"))
+        lost = F.length(text) - F.length(out) - F.regexp_count(text, F.lit(r"(?U)\w-\n(?=\w)")) + F.regexp_count(out, F.lit(r"(?U)\w-\n(?=\w)"))
         return out, lost
     return F.regexp_replace(kept, _PAIR, "$1$2"), F.regexp_count(kept, F.lit(_PAIR))
 
