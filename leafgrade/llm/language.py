@@ -85,7 +85,7 @@ def grams(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
         # No n-gram has a boundary inside or at both ends.
         ok = np.flatnonzero(~(inner | (space[:m] & space[k - 1 : k - 1 + m])))
         buckets.append((mix(h[ok] + np.uint64(k)) >> shift).astype(np.int32))
-        rows.append(np.minimum(row_at[ok + 1], n - 1))
+        rows.append(row_at[ok])
     if not buckets:
         e = np.zeros(0, np.int64)
         return e, e

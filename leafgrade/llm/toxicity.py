@@ -128,7 +128,7 @@ def score_rows(buf: np.ndarray, off: np.ndarray, weight: np.ndarray) -> tuple[np
     used = w != 0
     b, s = _distinct(b[used], s[used], bits)
     z = np.bincount(s, weight[b], len(row)) + float(weight[-1])
-    q = 1 / (1 + np.exp(-np.clip(z, -700, 30)))
+    q = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 30))))
     doc = -np.expm1(np.bincount(row, np.log1p(-np.minimum(q, 1 - 1e-12)), n))
     return np.clip(doc, 0, 1), q, (row, begin, end)
 
