@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_batches
+from .common import bound_batches, text_batches
 
 FRAME = 576
 SIDE = 24
 FPS = 25
-_PART = 3 << 20
+_PART = 1 << 19
 
 # Fixed values of the JPEG standard (ITU-T T.81, Annex K): numbers of codes by length, then symbols.
 DC_BITS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
@@ -331,6 +331,7 @@ def payload_of(coefficients: np.ndarray) -> np.ndarray:
 def store_text(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` and media: each text as an AVI file."""
     keep = keep or ["doc_id"]
+    bound_batches(docs.sparkSession, 500)
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
 
     def run(batches):
