@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import text_batches
 
 MARK = "▁"
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 900_000
 #: Chunks of more characters than this take the heap.
 LONG = 48
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
@@ -71,6 +71,7 @@ class PieceModel:
         self.filter = np.zeros(bits, bool)
         self.filter[self._slot(self.pair)] = True
         self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces_of: dict = {}
         self.corrected = 0
 
     @staticmethod
@@ -194,24 +195,35 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         """Ids with the end id, and the same as decimal numbers joined by spaces, for each text."""
-        split = []
+        if len(self.cache) > 100_000:  # words keep what they need
+            self.cache.clear()
+        if len(self.pieces_of) > CACHE_CHUNKS:
+            self.pieces_of.clear()
+        words, at = [], [0]
         for t in texts:
+            s = t.replace("\n", " \n")
             if not t:
-                split.append([])
-                continue
-            t = MARK + t.replace(" ", MARK)
-            split.append(_CHUNK.findall(t))
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache = self.cache
-        new = {c for s in split for c in s if c not in cache}
-        if new:
-            self._learn(list(new))
+                pass
+            elif "  " in s or s[0] == " " or s[-1] == " " or MARK in s:
+                words += [(MARK, c) for c in _CHUNK.findall(MARK + t.replace(" ", MARK))]
+            else:
+                words += s.split(" ")  # a word after a line break begins with it and has no space mark
+            at.append(len(words))
+        got = list(map(self.pieces_of.get, words))
+        if None in got:
+            new = {w for w, g in zip(words, got, strict=True) if g is None}
+            parts = {w: [w[1]] if isinstance(w, tuple) else _CHUNK.findall(w if w[0] == "\n" else MARK + w) for w in new}
+            chunks = {c for p in parts.values() for c in p if c not in self.cache}
+            if chunks:
+                self._learn(list(chunks))
+            for w, p in parts.items():
+                self.pieces_of[w] = self.cache[p[0]] if len(p) == 1 else (b"".join([self.cache[c][0] for c in p]), b" ".join([self.cache[c][1] for c in p]))
+            got = list(map(self.pieces_of.get, words))
         out = []
         tail_ids, tail = np.array([self.end], np.uint32).tobytes(), str(self.end).encode()
-        for s in split:
-            got = [cache[c] for c in s]
-            out.append((np.frombuffer(b"".join([g[0] for g in got]) + tail_ids, np.uint32), b" ".join([*[g[1] for g in got], tail])))
+        for i, j in zip(at, at[1:], strict=False):
+            some = got[i:j]
+            out.append((np.frombuffer(b"".join([g[0] for g in some]) + tail_ids, np.uint32), b" ".join([*[g[1] for g in some], tail])))
         return out
 
 
