@@ -49,15 +49,15 @@ def _encode(symbols: np.ndarray, freq: np.ndarray, cum: np.ndarray):
     words = np.zeros((b, t, lanes), np.uint16)
     mask = np.zeros((b, t, lanes), bool)
     states = {}
-    f_all, c_all = freq[symbols].astype(np.uint64), cum[symbols].astype(np.uint64)
+    freq, cum = freq.astype(np.uint64), cum.astype(np.uint64)
     for i in range(t - 1, -1, -1):
-        f = f_all[:, i]
+        f = freq[symbols[:, i]]
         m = x >= (f << np.uint64(16))
         words[:, i] = x.astype(np.uint16)
         mask[:, i] = m
         x = np.where(m, x >> np.uint64(16), x)
         q = x // f
-        x = (q << np.uint64(_SCALE)) + (x - q * f) + c_all[:, i]
+        x = (q << np.uint64(_SCALE)) + (x - q * f) + cum[symbols[:, i]]
         if i % CHECKPOINT == 0:
             states[i] = x.astype(np.uint32)
     return words, mask, states
@@ -76,13 +76,20 @@ def _write_blocks(symbols: np.ndarray, tokens: int, freq: np.ndarray, cum: np.nd
 
 def write(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, before: int = 0) -> bytes:
     """The bytes of a file: documents' ids and numbers of tokens, and all tokens one after the other."""
-    table, symbols = np.unique(ids, return_inverse=True)
+    if len(ids) and int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        table = np.flatnonzero(counts)
+        number = np.zeros(len(counts), np.int32)
+        number[table] = np.arange(len(table))
+        symbols, counts = number[ids], counts[table]
+    else:
+        table, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
     parts = [_HEAD.pack(MAGIC, len(doc_ids), len(ids), before, len(table))]
     parts.append(np.array([d is not None for d in doc_ids], np.uint8).tobytes())
     parts.append(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes())
     parts.append(np.asarray(lengths).astype("<u4").tobytes())
     if len(ids):
-        freq = frequencies(np.bincount(symbols).astype(np.float64))
+        freq = frequencies(counts.astype(np.float64))
         cum = np.append(0, np.cumsum(freq))[:-1]
         parts += [table.astype("<u4").tobytes(), freq.astype("<u4").tobytes()]
         whole = len(ids) // BLOCK

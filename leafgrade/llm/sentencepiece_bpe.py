@@ -209,16 +209,14 @@ class PieceModel:
             else:
                 words += s.split(" ")  # a word after a line break begins with it and has no space mark
             at.append(len(words))
-        got = list(map(self.pieces_of.get, words))
-        if None in got:
-            new = {w for w, g in zip(words, got, strict=True) if g is None}
+        if new := set(words).difference(self.pieces_of):
             parts = {w: [w[1]] if isinstance(w, tuple) else _CHUNK.findall(w if w[0] == "\n" else MARK + w) for w in new}
             chunks = {c for p in parts.values() for c in p if c not in self.cache}
             if chunks:
                 self._learn(list(chunks))
             for w, p in parts.items():
                 self.pieces_of[w] = self.cache[p[0]] if len(p) == 1 else (b"".join([self.cache[c][0] for c in p]), b" ".join([self.cache[c][1] for c in p]))
-            got = list(map(self.pieces_of.get, words))
+        got = list(map(self.pieces_of.__getitem__, words))
         out = []
         tail_ids, tail = np.array([self.end], np.uint32).tobytes(), str(self.end).encode()
         for i, j in zip(at, at[1:], strict=False):

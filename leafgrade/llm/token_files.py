@@ -26,7 +26,7 @@ from . import rans
 from .common import scratch, shuffle_partitions, stored, text_batches
 
 FILE_TOKENS = 3_000_000
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_300_000
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -71,21 +71,19 @@ class WordTokenizer:
         for w in alone:
             self.cache[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_WORDS:
             self.cache = {b"": b""}
         words, at = [], [0]
         for t in texts:
-            raw = t.encode("utf-8", "replace").translate(_LOWER).replace(b"\n", b" ")
+            raw = (t if isinstance(t, bytes) else t.encode("utf-8", "replace")).translate(_LOWER).replace(b"\n", b" ")
             raw = _STOP.sub(rb" \1", raw) if _OTHER_STOP.search(raw) else raw.replace(b", ", b" , ").replace(b". ", b" . ")
             words += raw.split(b" ")
             at.append(len(words))
-        got = list(map(self.cache.get, words))
-        if None in got:
-            self._learn(sorted({w for w, g in zip(words, got, strict=True) if g is None}))
-            get = self.cache.get
-            got = [get(w) if g is None else g for w, g in zip(words, got, strict=True)]
-        return [np.frombuffer(b"".join(got[i:j]), np.uint32) for i, j in zip(at, at[1:], strict=False)]
+        if new := set(words).difference(self.cache):
+            self._learn(sorted(new))
+        get = self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(get, words[i:j])), np.uint32) for i, j in zip(at, at[1:], strict=False)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -129,8 +127,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             docs, sizes, ids, count = [], [], [], 0
             return row.select(["part", "file", "n_docs", "n_tokens", "bytes"])
 
-        for rows, _, _ in text_batches(batches):
-            for d, e in zip(rows.column(0).to_pylist(), tokenizer.encode([t or "" for t in rows.column(1).to_pylist()]), strict=True):
+        for rows, buf, off in text_batches(batches):
+            raw = buf.tobytes()
+            for d, e in zip(rows.column(0).to_pylist(), tokenizer.encode([raw[i:j] for i, j in zip(off, off[1:], strict=False)]), strict=True):
                 docs.append(d)
                 sizes.append(len(e) + 1)
                 ids += [e, end]
