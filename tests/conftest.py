@@ -11,7 +11,7 @@ sys.path.insert(0, str(ROOT))
 def spark(tmp_path_factory):
     import os
 
-    os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{ROOT}/tests{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
+    os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{ROOT}/tests{os.pathsep}{ROOT}/tests/llm{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
     from pyspark.sql import SparkSession
 
     session = (
