@@ -360,3 +360,32 @@ def progress_by_hour(spark, d):
     """Progress events by hour and type."""
     e = sources.table(spark, d, "events")
     return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"WITH {O.STRUGGLE}, e AS (SELECT filename, page_number, unnest(struggle) AS category FROM dg), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY filename, page_number) AS r FROM e) SELECT category, count(*) AS n, string_agg(filename || ':' || page_number, ',' ORDER BY r) FILTER (r <= 5) AS first_pages, greatest(count(*) - 5, 0) AS n_more FROM r GROUP BY category")
+def coverage_report(spark, d):
+    """Categories with their first five pages."""
+    out = coverage.coverage_report(diagnosed(spark, d))
+    return out.select("category", "n", F.array_join("pages", ",").alias("first_pages"), "n_more")
+
+
+@query(f"WITH {O.QUALITY}, {_FILES} SELECT filename, CAST(page_count AS VARCHAR) AS pages, printf('%.1f%%', quality_score * 100) AS quality, engine FROM fl")
+def summary_table(spark, d):
+    files = rollups.file_rollup(_engine(quality(spark, d))).withColumns({"quality_score": F.round("quality_score", 6), "success": F.lit(True)})
+    return rollups.summary_table(files)
+
+
+@query(None)
+def page_selection(spark, d):
+    """Difficult and regression pages by file, their total, and the coverage counts, as one JSON record."""
+    pages = diagnosed(spark, d)
+    chosen = coverage.page_selection(coverage.difficult_pages(pages), coverage.regression_pages(pages), coverage.category_coverage(pages))
+    return chosen.select(F.to_json(F.struct("*")).alias("json"))
+
+
+@query(f"WITH {O.TOKENS}, words AS (SELECT l, count(*) AS n FROM (SELECT lower(w) AS l FROM iss WHERE t = 'consonant_cluster') GROUP BY l) SELECT l AS word, n FROM words ORDER BY n DESC, l LIMIT 20")
+def top_clusters(spark, d):
+    """The twenty commonest tokens with a run of consonants (a top-k report)."""
+    pages = sources.document_pages(spark, d).where(~T.too_short(F.col("text")))
+    each = pages.select(F.explode(T.tokens(F.col("text"))).alias("t")).select(T.cleaned(F.col("t")).alias("w")).where(T.issue(F.col("w")) == "consonant_cluster")
+    return each.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)

@@ -110,3 +110,40 @@ def test_languages():
     assert languages.first_engine_codes(["en", "xx"]) == "eng+xx"
     with pytest.raises(ValueError):
         languages.resolve_languages(["xx"])
+
+
+def test_manifest_and_sidecars(spark, tmp_path):
+    import json
+
+    from leafgrade import sources
+
+    (tmp_path / "m.json").write_text(json.dumps({"documents": [{"id": "a", "title": "A", "page_count": 3, "ground_truth_pages": {"10": "x", "2": "y"}}, {"id": "b", "title": "B"}]}, indent=1))
+    (tmp_path / "side").mkdir()
+    page = {"page_number": 0, "quality_score": 0.5, "engine": "existing", "flagged": True, "status": "flagged", "diagnostics": {"struggle_categories": ["gray_zone"], "has_signal_disagreement": False}}
+    (tmp_path / "side" / "a.diagnostics.json").write_text(json.dumps({"version": "1", "filename": "a.pdf", "pages": [page]}, indent=1))
+    docs = sources.manifest(spark, f"file://{tmp_path}/m.json")
+    assert [r.id for r in docs.orderBy("id").collect()] == ["a", "b"]
+    assert {r.id: list(r.pages) for r in sources.ground_truth_pages(docs).collect()} == {"a": [2, 10], "b": []}
+    found, missing = sources.sidecars(spark, f"file://{tmp_path}/side", docs)
+    assert [(r.id, list(r.diagnostics.struggle_categories)) for r in found.collect()] == [("a", ["gray_zone"])] and [r.id for r in missing.collect()] == ["b"]
+    assert sources.document_by_id(docs, "b").first().title == "B" and sources.manifest(spark, f"file://{tmp_path}/none.json").count() == 0
+    with pytest.raises(LookupError):
+        sources.document_by_id(docs, "z")
+
+
+def test_file_listing(spark, tmp_path):
+    from leafgrade import sources
+
+    for name in ("b.pdf", "a.pdf", "c.txt"):
+        (tmp_path / name).write_text("x")
+    found = sources.scan_files(spark, f"file://{tmp_path}")
+    assert [r.filename for r in found.collect()] == ["a.pdf", "b.pdf"]
+    have, missing = sources.listed_files(found, ["b.pdf", "zz.pdf", "a.pdf"])
+    assert [r.filename for r in have.collect()] == ["b.pdf", "a.pdf"] and [r.filename for r in missing.collect()] == ["zz.pdf"]
+
+
+def test_selection_record(spark):
+    pages = spark.createDataFrame([("f", i, 0.95, ["gray_zone"] if i % 5 == 0 else []) for i in range(40)], "filename string, page_number int, score double, struggle array<string>")
+    row = coverage.page_selection(coverage.difficult_pages(pages), coverage.regression_pages(pages), coverage.category_coverage(pages)).first()
+    assert row.coverage_summary == {"gray_zone": 8} and row.total_pages == len(row.difficult["f"]) + len(row.regression["f"])
+    assert list(row.regression["f"]) == [1, 3, 11, 18, 39 if 39 % 5 else 38] or len(row.regression["f"]) >= 4
