@@ -417,8 +417,9 @@ def _string_hashes(length: int, buckets: int):
     return run
 
 
-def _equal_strings(length: int):
+def _equal_strings(buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        """Places of strings that occur twice, packed by a bucket of their text."""
         get = lambda c, kind: np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()])
         h, r, p = get("h", np.uint64), get("r", np.int64), get("p", np.int64)
         order = np.lexsort((p, r, h))
@@ -426,7 +427,28 @@ def _equal_strings(length: int):
         new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1]))  # a string of two fragments counts once
         h, r, p = h[new], r[new], p[new]
         many = np.append(h[1:] == h[:-1], False) | np.append(False, h[1:] == h[:-1])
-        return pa.table({"rid": pa.array(r[many]), "begin": pa.array(p[many]), "size": pa.array(np.full(int(many.sum()), length, np.int64))})
+        r, p = r[many], p[many]
+        text = (mix(r.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(text, kind="stable")
+        text, r, p = text[order], r[order], p[order]
+        cut = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, np.int64)
+        at = list(zip(cut, np.append(cut[1:], len(text)), strict=True)) if len(text) else []
+        return pa.table({"texts": pa.array(text[cut]), "r": pa.array([r[i:j].tobytes() for i, j in at], pa.binary()), "p": pa.array([p[i:j].tobytes() for i, j in at], pa.binary())})
+
+    return run
+
+
+def _joined_places(length: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Spans of the texts of one bucket: strings that touch are one span."""
+        get = lambda c: np.concatenate([np.frombuffer(v, np.int64) for v in table.column(c).to_pylist()])
+        r, p = get("r"), get("p")
+        order = np.lexsort((p, r))
+        r, p = r[order], p[order]
+        new = np.append(True, (r[1:] != r[:-1]) | (p[1:] > p[:-1] + length))
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(r)) - 1
+        return pa.table({"rid": pa.array(r[at]), "begin": pa.array(p[at]), "size": pa.array(p[last] + length - p[at])})
 
     return run
 
@@ -473,7 +495,8 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         spans = spans.unionAll(stored(cool, "suffix-repeats"))
         if not wanted.where(F.col("n") > HOT).isEmpty():
             hot = fragments.where(F.col("n") > HOT).select("rid", "begin", "data").mapInArrow(_string_hashes(length, 4 * parts), "bucket int, h binary, r binary, p binary")
-            spans = spans.unionAll(stored(hot.groupBy("bucket").applyInArrow(_equal_strings(length), "rid long, begin long, size long"), "suffix-hot"))
+            equal = hot.groupBy("bucket").applyInArrow(_equal_strings(parts), "texts int, r binary, p binary")
+            spans = spans.unionAll(stored(equal.groupBy("texts").applyInArrow(_joined_places(length), "rid long, begin long, size long"), "suffix-hot"))
     return spans.groupBy("rid").agg(F.collect_set(F.struct("begin", "size")).alias("spans"))
 
 
