@@ -1,3 +1,24 @@
 """Document-quality analytics on PySpark."""
 
+from .callbacks import LoggingCallback, ModelEvent, NullCallback, PhaseEvent, ProgressEvent, RunCallback
+from .config import ConfigurationError, DocumentError, EngineError, EnvironmentProblems, LeafgradeError, MissingDependencyError, RunConfig
+from .operators.languages import resolve_languages
+
 __version__ = "0.1.0"
+
+__all__ = [
+    "ConfigurationError",
+    "DocumentError",
+    "EngineError",
+    "EnvironmentProblems",
+    "LeafgradeError",
+    "LoggingCallback",
+    "MissingDependencyError",
+    "ModelEvent",
+    "NullCallback",
+    "PhaseEvent",
+    "ProgressEvent",
+    "RunCallback",
+    "RunConfig",
+    "resolve_languages",
+]
