@@ -67,7 +67,7 @@ def _distinct(bucket: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndar
     return both & ((1 << bits) - 1), both >> bits
 
 
-def train(texts: list[str | None], labels: np.ndarray, config: ToxicityConfig) -> np.ndarray:
+def train(texts: list[str | None] | pa.ChunkedArray, labels: np.ndarray, config: ToxicityConfig) -> np.ndarray:
     """Weights of length 2**bits + 1, the last the bias. All zero but the bias when one class is missing."""
     size = 1 << config.bits
     weight = np.zeros(size + 1)
@@ -76,19 +76,26 @@ def train(texts: list[str | None], labels: np.ndarray, config: ToxicityConfig) -
     if not len(y) or y.min() == y.max():
         weight[size] = -np.inf
         return weight.astype(np.float32)
-    buf, off = text_buffer(pa.array(texts, pa.large_string()))
-    docs = []
+    buf, off = text_buffer(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.large_string()))
+
+    def each():
+        for i, j in steps(off):
+            b, s, row, _, _ = features(buf[off[i] : off[j]], off[i : j + 1] - off[i], config.bits)
+            b, s = _distinct(b, s, config.bits)
+            at = np.searchsorted(row[s] if len(s) else s, np.arange(j - i + 1))
+            for k in range(j - i):
+                yield b[at[k] : at[k + 1]], s[at[k] : at[k + 1]]
+
+    # Two passes, so that memory only holds buckets of three training documents or more.
     seen = np.zeros(size, np.int32)
-    for i, j in steps(off):
-        b, s, row, _, _ = features(buf[off[i] : off[j]], off[i : j + 1] - off[i], config.bits)
-        b, s = _distinct(b, s, config.bits)
-        r = row[s] if len(s) else s
-        at = np.searchsorted(r, np.arange(j - i + 1))
-        for k in range(j - i):
-            docs.append((b[at[k] : at[k + 1]], s[at[k] : at[k + 1]]))
-            seen[np.unique(docs[-1][0])] += 1
-    kept = seen >= 3  # buckets of fewer training documents carry no evidence
-    docs = [(b[kept[b]], np.unique(s, return_inverse=True)[1][kept[b]], len(np.unique(s))) for b, s in docs]
+    for b, _ in each():
+        seen[np.unique(b)] += 1
+    kept = seen >= 3
+    docs = []
+    for b, s in each():
+        names, number = np.unique(s, return_inverse=True)
+        docs.append((b[kept[b]].astype(np.int32), number[kept[b]].astype(np.int32), len(names)))
+    del buf, off
     pull = np.where(y > 0, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (len(y) - y.sum()))
     rng = np.random.default_rng(config.seed)
     past = np.full(size + 1, 1e-2)
@@ -145,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, config: ToxicityConfi
         sample = part if sample is None else sample.unionAll(part)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # bounded by the limit above
     rows = texts.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    return train(rows.column("text").to_pylist(), rows.column("toxic").to_numpy(), config)
+    return train(rows.column("text"), rows.column("toxic").to_numpy(), config)
 
 
 def score(docs: DataFrame, weight: np.ndarray, keep: list[str] | None = None, sentences: bool = False) -> DataFrame:
