@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import text_batches
 
 MARK = "▁"
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 500_000
 #: Chunks of more characters than this take the heap.
 LONG = 48
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
