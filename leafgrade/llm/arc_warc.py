@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import bound_batches, scratch, stored
 
 _FIELDS = {
     1: ["url", "ip", "date", "type", "length"],
@@ -139,6 +139,7 @@ _START = datetime(1997, 1, 1, tzinfo=UTC)
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """ARC records of all pages, converted to WARC files below folder; rows (file, n_records, bytes)."""
+    bound_batches(pages.sparkSession)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     digests = stored(source.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha")), "archive-digests")
     groups = digests.where("page_id IS NOT NULL").groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("sha", "response")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, chain, mix, starts_of, text_batches, words
+from .common import ALNUM_WORDS, bound_batches, chain, mix, starts_of, text_batches, words
 
 
 @dataclass
@@ -200,6 +200,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamin
     items (ids with an occurring window), spans (begin and end word positions, flat) and contaminated."""
     config = config or DecontaminateConfig()
     keep = keep or ["doc_id"]
+    bound_batches(docs.sparkSession)
     windows = item_windows(benchmark, config)
     sized = windows.agg(F.coalesce(F.sum(F.size("shingles") * 8 + _ROW_BYTES), F.lit(0)).alias("b")).first().b
     blocks = max(1, -(-int(sized) // config.max_block_bytes))

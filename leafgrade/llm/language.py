@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, mix, text_batches
+from .common import BYTE_CODE, bound_batches, mix, text_batches
 
 
 @dataclass
@@ -199,6 +199,7 @@ def fit(docs: DataFrame, learn: Column, config: LanguageConfig | None = None) ->
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep`, then lang_pred, score and rejected, for every row of docs."""
     keep = keep or ["doc_id"]
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**bits rows of one float a language
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     source = docs.select(*keep, F.col("text").alias("text__"), letter.alias("letter__"))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_batches
+from .common import bound_batches, text_batches
 
 MARK = "▁"
 CACHE_CHUNKS = 500_000
@@ -238,6 +238,7 @@ def model(path: str) -> PieceModel:
 def encode_pieces(docs: DataFrame, model_path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Columns `keep`, n_tokens, ids_sha256, decoded_sha256, n_corrected[, ids, decoded] for every row."""
     keep = keep or ["doc_id"]
+    bound_batches(docs.sparkSession)
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
 
     def run(batches):

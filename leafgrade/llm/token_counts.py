@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_batches
+from .common import bound_batches, text_batches
 
 CONTEXT = 4
 LEAF = 64
@@ -201,6 +201,7 @@ def review_edits(text: str) -> list[tuple[int, int, str]]:
 def count_with_edits(docs: DataFrame, path: str, pattern: str, edits=review_edits, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep`, n_tokens, n_segments, n_tokens_edited, n_recounted, n_chars_edited for every row."""
     keep = keep or ["doc_id"]
+    bound_batches(docs.sparkSession)
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
 
     def run(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import scratch, shuffle_partitions, stored, text_batches
+from .common import bound_batches, scratch, shuffle_partitions, stored, text_batches
 
 FILE_TOKENS = 3_000_000
 CACHE_WORDS = 1_300_000
@@ -105,6 +105,7 @@ def _put(fs: pyarrow.fs.FileSystem, path: str, data: bytes) -> None:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Write files below folder (a URI that pyarrow.fs opens on every executor); rows (part, file, n_docs, n_tokens, bytes)."""
+    bound_batches(docs.sparkSession)
     n = partitions or shuffle_partitions(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, steps, text_batches, text_buffer, words
+from .common import ALNUM_WORDS, bound_batches, steps, text_batches, text_buffer, words
 
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
@@ -162,6 +162,7 @@ def score(docs: DataFrame, weight: np.ndarray, keep: list[str] | None = None, se
     """
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(weight)  # fixed size: 2**bits + 1 floats
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
     kind = pa.list_(pa.struct([("text", pa.string()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
