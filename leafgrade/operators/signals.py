@@ -26,7 +26,8 @@ def garbled(pages: DataFrame, config: QualityConfig | None = None) -> DataFrame:
     words = F.when(short, F.array().cast("array<string>")).otherwise(T.tokens(F.col("text")))
     out = pages.withColumn("words__", words)
     # The struct's fields: cleaned word, issue, place. Only tokens with an issue stay.
-    found = F.filter(F.transform("words__", lambda w, i: F.struct(T.cleaned(w).alias("w"), T.issue(T.cleaned(w)).alias("t"), i.alias("i"))), lambda x: x.t.isNotNull())
+    placed = F.filter(F.transform("words__", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x.w.rlike(T.SUSPECT))
+    found = F.filter(F.transform(placed, lambda x: F.struct(T.cleaned(x.w).alias("w"), T.issue(T.cleaned(x.w)).alias("t"), x.i.alias("i"))), lambda x: x.t.isNotNull())
     out = out.withColumn("found__", found)
     total, bad = F.size("words__"), F.size("found__")
     samples = F.slice("found__", 1, c.max_samples)

@@ -118,3 +118,10 @@ def test_struggles_and_disagreement(spark):
 def test_word_diff():
     assert diagnostics.word_diff("a b c", "a x c d") == {"additions": ["d"], "deletions": [], "substitutions": [{"old": "b", "new": "x"}]}
     assert diagnostics.word_diff(None, "a") == {"additions": ["a"], "deletions": [], "substitutions": []}
+
+
+def test_the_search_before_the_rules_loses_nothing(spark):
+    rng = random.Random(11)
+    words = random_words(2000) + ["".join(rng.choice("ab.,-A#") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    rows = spark.createDataFrame([(w,) for w in words if w.split() == [w]], "w string")
+    assert rows.where(T.issue(T.cleaned(F.col("w"))).isNotNull() & ~F.col("w").rlike(T.SUSPECT)).count() == 0
