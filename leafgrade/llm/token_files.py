@@ -6,7 +6,7 @@ document. Documents are range-partitioned by doc_id; each task writes its files
 tokens under names that a repeated attempt writes again with the same bytes.
 
 Defined cases: null and empty texts are the end id alone; null doc_ids come first; equal doc_ids are in
-the order of a hash of their text; repeated rows repeat; an empty table writes no file.
+the order of their texts; repeated rows repeat; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """Write files below folder (a URI that pyarrow.fs opens on every executor); rows (part, file, n_docs, n_tokens, bytes)."""
     bound_batches(docs.sparkSession)
     n = partitions or shuffle_partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
 
