@@ -6,8 +6,9 @@ word has the same hash in every batch and on every executor.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,8 +163,28 @@ def starts_of(row: np.ndarray, rows: int) -> np.ndarray:
     return np.searchsorted(row, np.arange(rows + 1))
 
 
-def text_batches(batches, text: str = "text", most: int = STEP_BYTES):
-    """(part of a record batch, bytes, offsets) for bounded parts of Arrow batches."""
+#: What empties each operator's cache in this Python worker; workers serve one operator after the other.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def release(keep: str = "") -> None:
+    """Empty the caches of other operators and give free memory back to the system."""
+    for name, clear in caches.items():
+        if name != keep:
+            clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def text_batches(batches, text: str = "text", most: int = STEP_BYTES, cache: str = ""):
+    """(part of a record batch, bytes, offsets) for bounded parts of Arrow batches.
+
+    A task begins with it, so the caches of other operators than `cache` go first.
+    """
+    release(cache)
     for batch in batches:
         buf, off = text_buffer(batch.column(batch.schema.get_field_index(text)))
         for i, j in steps(off, most):

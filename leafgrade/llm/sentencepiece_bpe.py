@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, text_batches
+from .common import bound_batches, caches, text_batches
 
 MARK = "▁"
 CACHE_CHUNKS = 500_000
@@ -228,6 +228,15 @@ class PieceModel:
 _models: dict[str, PieceModel] = {}
 
 
+def _forget() -> None:
+    for m in _models.values():
+        m.cache.clear()
+        m.pieces_of.clear()
+
+
+caches["pieces"] = _forget
+
+
 def model(path: str) -> PieceModel:
     """One model for each Python worker."""
     if path not in _models:
@@ -243,7 +252,7 @@ def encode_pieces(docs: DataFrame, model_path: str, keep: list[str] | None = Non
 
     def run(batches):
         m = model(model_path)
-        for part, _, _ in text_batches(batches):
+        for part, _, _ in text_batches(batches, cache="pieces"):
             texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
             before = m.corrected
             coded = m.encode(texts)

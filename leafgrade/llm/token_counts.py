@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, text_batches
+from .common import bound_batches, caches, text_batches
 
 CONTEXT = 4
 LEAF = 64
@@ -179,6 +179,15 @@ class TokenTree:
 _counters: dict[tuple[str, str], Counter] = {}
 
 
+def _forget() -> None:
+    for c in _counters.values():
+        c.cache.clear()
+        c.single.clear()
+
+
+caches["counts"] = _forget
+
+
 def counter(path: str, pattern: str) -> Counter:
     key = (path, pattern)
     if key not in _counters:
@@ -206,7 +215,7 @@ def count_with_edits(docs: DataFrame, path: str, pattern: str, edits=review_edit
 
     def run(batches):
         c = counter(path, pattern)
-        for part, _, _ in text_batches(batches):
+        for part, _, _ in text_batches(batches, cache="counts"):
             rows = []
             for t in part.column(part.schema.get_field_index("text")).to_pylist():
                 tree = TokenTree(t or "", c)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import bound_batches, scratch, shuffle_partitions, stored, text_batches
+from .common import bound_batches, caches, scratch, shuffle_partitions, stored, text_batches
 
 FILE_TOKENS = 3_000_000
 CACHE_WORDS = 1_300_000
@@ -89,6 +89,14 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def _forget() -> None:
+    for t in _tokenizers.values():
+        t.cache = {b"": b""}
+
+
+caches["words"] = _forget
+
+
 def tokenizer_at(path: str) -> WordTokenizer:
     """One tokenizer, with its cache, for each Python worker."""
     if path not in _tokenizers:
@@ -128,7 +136,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             docs, sizes, ids, count = [], [], [], 0
             return row.select(["part", "file", "n_docs", "n_tokens", "bytes"])
 
-        for rows, buf, off in text_batches(batches):
+        for rows, buf, off in text_batches(batches, cache="words"):
             raw = buf.tobytes()
             for d, e in zip(rows.column(0).to_pylist(), tokenizer.encode([raw[i:j] for i, j in zip(off, off[1:], strict=False)]), strict=True):
                 docs.append(d)
