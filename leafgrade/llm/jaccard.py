@@ -39,7 +39,7 @@ from .common import SPACE_WORDS, bound_batches, chain, components, key_filter, m
 SHINGLE = 5
 #: Similarity as a fraction; the bounds of the module text hold for these.
 NUMERATOR, DENOMINATOR = 80, 100
-_FLUSH = 1_500_000
+_FLUSH = 600_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

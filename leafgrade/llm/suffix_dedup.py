@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, bound_batches, key_filter, may_hold, mix, powers, shuffle_partitions, stored, text_batches
+from .common import BYTE_CODE, bound_batches, key_filter, may_hold, mix, powers, release, shuffle_partitions, stored, text_batches
 
 LENGTH = 400
 GRAM = 32
@@ -37,7 +37,7 @@ HOT = 500
 CONTEXTS = 8
 #: Bytes of fragments that one suffix array holds, about.
 ARRAY_BYTES = 1 << 17
-_FLUSH = 400_000
+_FLUSH = 150_000
 
 
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -473,13 +473,15 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         bloom = spark.sparkContext.broadcast(key_filter(rids, rids.count()))
 
         def sift(batches):
+            release()
             for batch in batches:
                 yield batch.filter(pa.array(may_hold(bloom.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.int64))))
 
         texts = source.mapInArrow(sift, "rid long, text string").dropDuplicates(["rid"])
 
         def cut(batches):
-            for batch in batches:
+            release()
+            for batch in (b.slice(i, 200) for b in batches for i in range(0, len(b), 200)):
                 rid, text, many = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
                 out = ([], [], [], [], [])
                 for k in range(len(rid)):
