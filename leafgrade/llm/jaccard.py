@@ -9,10 +9,11 @@ at most n // 4 differ, so at least 1 + m(n) of them are equal: enumerating the b
 every pair. m(n) exceeds the empty bins that a set usually has, so empty bins need a signature only
 in the rare sets with more of them, and the guarantee stays without them.
 
-More is known than that: of the 1 + m(n) equal bins of a pair no more are empty than the smaller set
-has empty bins, so the pair shares at least need(n) = 1 + m(n) - empty signatures. A set of which
-fewer than `need` signatures occur in any other set has no partner and is peeled off before pairs
-are made; texts that merely share a line or a passage go this way.
+More is known than that: of the 1 + m(a) equal bins of a pair no more are empty than either set has
+empty bins. A set of n elements may be the larger one, and its partner has at least 4n / 5 elements,
+so it shares at least need(n) = 1 + m(ceil(4n / 5)) - empty signatures with any partner. A set of
+which fewer than `need` signatures occur in any other set has no partner and is peeled off before
+pairs are made; texts that merely share a line or a passage go this way.
 
 Signatures leave each task packed by bucket (6 bytes each). Equal sets collapse to one key first, so
 copies are never paired; a bucket yields distinct lists of keys that share a signature. Lists are
@@ -120,8 +121,9 @@ def signatures(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
         owner = np.repeat(np.arange(len(use)), bins)
         inside = place < signed[owner]
         empty = np.bincount(owner[inside & ~filled], minlength=len(use))
-        loud = empty > _spare(-(-4 * n // 5))
-        need[use] = np.minimum(need[use], np.where(loud, 1, np.maximum(1 + _spare(n) - empty, 1)))
+        least = _spare(-(-4 * n // 5))
+        loud = empty > least
+        need[use] = np.minimum(need[use], np.where(loud, 1, 1 + least - empty))
         out = np.flatnonzero(inside & (filled | loud[owner]))
         tag = mix((band[owner[out]].astype(np.uint64) << np.uint64(40)) + place[out].astype(np.uint64))
         sigs.append(mix(total[out] + tag))

@@ -214,6 +214,20 @@ def test_every_similar_pair_shares_enough_signatures():
         assert shared >= min(need), (len(a), len(b), shared, need)
 
 
+@pytest.mark.parametrize("n,m", [(16, 20), (32, 40), (33, 40), (64, 80)])
+def test_both_sets_of_a_nested_pair_reach_their_need(n, m):
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(1000):
+        large = rng.permutation(4096)[:m].astype(np.uint64)
+        sets += [np.sort(common.mix(large[:n])), np.sort(common.mix(large))]
+    s, r, need = jaccard.signatures(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])))
+    of = defaultdict(set)
+    for sig, row in zip(s.tolist(), r.tolist(), strict=True):
+        of[row].add(sig)
+    assert all(len(of[i] & of[i + 1]) >= max(need[i], need[i + 1]) for i in range(0, len(sets), 2))
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.jaccard_components(docs_of(spark, [])).count() == 0
 
