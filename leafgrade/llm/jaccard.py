@@ -16,11 +16,13 @@ which fewer than `need` signatures occur in any other set has no partner and is
 pairs are made; texts that merely share a line or a passage go this way.
 
 Signatures leave each task packed by bucket (6 bytes each). Equal sets collapse to one key first, so
-copies are never paired; a bucket yields distinct lists of keys that share a signature. Lists are
-verified in two rounds on exact sets. First each key is compared with the key that leads most of its lists. Then
-only lists whose keys are still in different components count: short ones give their pairs, long ones
-give pairs of chunks (a few hundred sets each) whose sets are compared inside one task, which emits
-only links between components. Links feed distributed connected components.
+copies are never paired; a bucket yields distinct lists of keys that share a signature. Short lists
+give their pairs, long ones give pairs of chunks (a few hundred sets each) whose sets are compared
+inside one task, which emits a count of links for each key and a spanning forest of them. Every pair
+is compared once, on exact sets, so the counts are whole. Links feed distributed connected components.
+
+Where links need no counting, lists are verified in two rounds. First each key is compared with the
+key that leads most of its lists. Then only lists whose keys are still in different components count.
 
 Defined cases: null and word-free texts have an empty set, link with nothing and are their own
 component; texts of one to four words are one shingle; repeated rows and copies share a component;
@@ -306,11 +308,15 @@ def _short_pairs(torn: DataFrame) -> DataFrame:
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    """Links between components among the sets of two chunks, as far as they join components."""
-    key, root = table.column("key").to_numpy(), table.column("root").to_numpy()
-    where = np.unique(key, return_index=True)[1]
-    sets = [_unpack(table.column("elements")[int(i)].as_py()) for i in where]
-    key, root = key[where], root[where]
+    """The similar pairs of one chunk, or those between two: the number of rows that each key is linked
+    with (a, n), and links (a, b) as far as they join components."""
+    order = np.lexsort((table.column("key").to_numpy(), table.column("chunk").to_numpy()))
+    key, root, chunk, copies = (table.column(x).to_numpy()[order] for x in ("key", "root", "chunk", "copies"))
+    sets = [_unpack(table.column("elements")[int(i)].as_py()) for i in order]
+    # Rows are the first chunk, columns the second; a chunk alone is both.
+    rows = int(np.searchsorted(chunk, chunk[0], side="right"))
+    alone = rows == len(key)
+    left = 0 if alone else rows
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -319,16 +325,25 @@ def _block_links(table: pa.Table) -> pa.Table:
     element = np.unique(element, return_inverse=True)[1]
     order = np.argsort(element, kind="stable")
     owner, element = owner[order], element[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((rows, len(sets) - left), np.float32)
     width = 4096
     top = int(element[-1]) + 1 if len(element) else 0
     for at in range(0, top, width):
         i, j = np.searchsorted(element, [at, at + width])
         some = np.zeros((len(sets), min(width, top - at)), np.float32)
         some[owner[i:j], element[i:j] - at] = 1
-        common += some @ some.T
-    both = size[:, None] + size[None, :]
-    near = np.triu(DENOMINATOR * common >= NUMERATOR * (both - common), 1) & (root[:, None] != root[None, :])
+        common += some[:rows] @ some[left:].T
+    both = size[:rows, None] + size[None, left:]
+    near = DENOMINATOR * common >= NUMERATOR * (both - common)
+    if alone:
+        np.fill_diagonal(near, False)
+    linked = np.zeros(len(sets), np.int64)
+    linked[:rows] = near @ copies[left:]
+    if not alone:
+        linked[left:] = copies[:rows] @ near
+    near &= root[:rows, None] != root[None, left:]
+    if alone:
+        near = np.triu(near)
     parent = {int(r): int(r) for r in root}
 
     def find(x: int) -> int:
@@ -339,22 +354,23 @@ def _block_links(table: pa.Table) -> pa.Table:
 
     a, b = [], []
     for i, j in zip(*np.nonzero(near), strict=True):
-        x, y = find(int(root[i])), find(int(root[j]))
+        x, y = find(int(root[i])), find(int(root[left + j]))
         if x != y:
             parent[max(x, y)] = min(x, y)
             a.append(key[i])
-            b.append(key[j])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            b.append(key[left + j])
+    some = np.flatnonzero(linked)
+    return pa.table({"a": pa.array([*a, *key[some]], pa.int64()), "b": pa.array([*b, *[None] * len(some)], pa.int64()), "n": pa.array([*[None] * len(a), *linked[some].tolist()], pa.int64())})
 
 
-def _chunk_links(torn: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between the components of long lists."""
+def _chunk_links(torn: DataFrame, docs: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Of long lists: what _block_links finds, each key's chunk, and the pairs (x, y) of chunks that were compared."""
     long = torn.where(F.size("m") > SHORT)
     each = stored(long.select("name", F.explode("m").alias("x")).select("name", F.col("x.key").alias("key"), F.col("x.root").alias("root")), "jaccard-long")
     if each.isEmpty():
-        return each.select(F.col("key").alias("a"), F.col("key").alias("b"))
+        return each.select(F.col("key").alias("a"), F.col("key").alias("b"), F.col("key").alias("n")), None, None
     keys = stored(each.select("key", "root").distinct(), "jaccard-long-keys")
-    sets = stored(_wanted_sets(docs, key_filter(keys.select("key"), keys.count())).join(keys, "key"), "jaccard-long-sets")
+    sets = stored(_wanted_sets(docs, key_filter(keys.select("key"), keys.count())).join(keys, "key").join(copies, "key"), "jaccard-long-sets")
     # A key's hub is the least key that it shares a list with. Four steps from hub
     # to hub name its family; they are not followed to their end, so families don't chain up.
     hub = each.join(long.select("name", F.element_at("m.key", 1).alias("hub")), "name").groupBy("key").agg(F.min("hub").alias("hub"))
@@ -367,17 +383,32 @@ def _chunk_links(torn: DataFrame, docs: DataFrame) -> DataFrame:
     extent = sets.select("key", F.length("elements").alias("bytes")).join(family, "key").groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).alias("chunks"))
     chunk = stored(family.join(extent, "family").select("key", F.xxhash64("family", F.pmod(F.xxhash64("hub"), F.col("chunks"))).alias("chunk")), "jaccard-chunks")
     held = each.join(chunk, "key").groupBy("name").agg(F.array_sort(F.collect_set("chunk")).alias("c")).select("c").distinct()
-    pairs = held.select(F.posexplode("c").alias("i", "x"), "c").select("x", F.explode(F.slice("c", F.col("i") + 1, F.size("c"))).alias("y")).distinct()
+    pairs = stored(held.select(F.posexplode("c").alias("i", "x"), "c").select("x", F.explode(F.slice("c", F.col("i") + 1, F.size("c"))).alias("y")).distinct(), "jaccard-chunk-pairs")
     sides = pairs.withColumn("task", F.xxhash64("x", "y")).select("task", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"))
-    work = stored(sides, "jaccard-tasks").join(stored(sets.join(chunk, "key"), "jaccard-chunk-sets"), "chunk").select("task", "key", "root", "elements")
-    return stored(work.groupBy("task").applyInArrow(_block_links, "a long, b long"), "jaccard-chunk-links")
+    work = stored(sides, "jaccard-tasks").join(stored(sets.join(chunk, "key"), "jaccard-chunk-sets"), "chunk").select("task", "chunk", "key", "root", "copies", "elements")
+    return stored(work.groupBy("task").applyInArrow(_block_links, "a long, b long, n long"), "jaccard-chunk-links"), chunk, pairs
+
+
+def _every_link(lists: DataFrame, docs: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join all similar keys, and for each key (k, n) the rows of other keys similar to it."""
+    alone = stored(lists.select("name", F.transform("members", lambda k: F.struct(k.alias("key"), k.alias("root"))).alias("m")), "jaccard-alone")
+    found, chunk, compared = _chunk_links(alone, docs, copies)
+    pairs = _short_pairs(alone)
+    if chunk is not None:  # pairs that lie in compared chunks were counted there
+        pairs = pairs.join(chunk.select(F.col("key").alias("a"), F.col("chunk").alias("p")), "a", "left").join(chunk.select(F.col("key").alias("b"), F.col("chunk").alias("q")), "b", "left")
+        pairs = pairs.withColumn("x", F.least("p", "q")).withColumn("y", F.greatest("p", "q")).join(compared, ["x", "y"], "left_anti").select("a", "b")
+    links = _linked(pairs, docs, "jaccard-2")
+    ends = links.select(F.col("a").alias("k"), F.col("b").alias("key")).unionAll(links.select(F.col("b").alias("k"), F.col("a").alias("key")))
+    counts = ends.join(copies, "key").select("k", F.col("copies").alias("n")).unionAll(found.where("b IS NULL").select(F.col("a").alias("k"), "n"))
+    return links.unionAll(found.where("b IS NOT NULL").select("a", "b")), counts.groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """Rows (doc_id, n_shingles, set_key, n_links, component_id) for every row of docs.
 
-    n_links counts the document's links with other texts' sets that the join had to verify as edges
-    of its component; copies are not expanded into pairs.
+    n_links is the number of other rows whose sets are similar or equal to the row's. It takes the
+    comparison of all candidate pairs; without count_links the column is left out and only pairs that
+    may join components are compared.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -393,23 +424,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = _bucket_signatures(source, buckets).groupBy("bucket").applyInArrow(_shared_lists, "name long, times long, members array<long>, needs array<int>")
     lists = stored(lists.groupBy("name").agg(F.sum("times").alias("times"), F.first("members").alias("members"), F.first("needs").alias("needs")), "jaccard-lists")
     lists = _peeled(_peeled(lists, "jaccard-peeled-1"), "jaccard-peeled-2")
-    # The first pair of a key is that with the first key of the lists that hold most of its signatures.
-    each = lists.select("times", F.element_at("members", 1).alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b"))
-    star = each.groupBy("a", "b").agg(F.sum("times").alias("n")).groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b")
-    star = stored(star, "jaccard-star")
-    links = _linked(star, source, "jaccard-1")
-    groups = stored(components(links), "jaccard-groups")
-    torn = stored(_torn(lists, groups), "jaccard-torn")
-    more = _linked(_short_pairs(torn).join(star, ["a", "b"], "left_anti"), source, "jaccard-2").unionAll(_chunk_links(torn, source))
-    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
-    every = links.unionAll(more)
-    degree = every.select(F.col("a").alias("k")).unionAll(every.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n_links"))
-    least = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    named = least.join(groups, least.set_key == groups.node, "left").join(degree, least.set_key == degree.k, "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = stored(rows.where("n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "jaccard-known")
+    copies = known.select("key", "copies")
+    if count_links:
+        links, counts = _every_link(lists, source, copies)
+        groups = components(links)
+    else:
+        # The first pair of a key is that with the first key of the lists that hold most of its signatures.
+        each = lists.select("times", F.element_at("members", 1).alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b"))
+        star = each.groupBy("a", "b").agg(F.sum("times").alias("n")).groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b")
+        star = stored(star, "jaccard-star")
+        links = _linked(star, source, "jaccard-1")
+        groups = stored(components(links), "jaccard-groups")
+        torn = stored(_torn(lists, groups), "jaccard-torn")
+        found = _chunk_links(torn, source, copies)[0].where("b IS NOT NULL").select("a", "b")
+        more = _linked(_short_pairs(torn).join(star, ["a", "b"], "left_anti"), source, "jaccard-2").unionAll(found)
+        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    named = known.join(groups, known.key == groups.node, "left").select(F.col("key").alias("set_key"), "least", "copies", F.coalesce("root", "key").alias("root"))
+    if count_links:
+        named = named.join(counts, named.set_key == counts.k, "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0))).drop("k", "n")
     named = stored(named, "jaccard-named")
     roots = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-roots")
-    named = stored(named.join(roots, "root").select("set_key", "component_id", "n_links"), "jaccard-components")
-    return rows.join(named, "set_key", "left").select("doc_id", "n_shingles", "set_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    extra = ["n_links"] if count_links else []
+    named = stored(named.join(roots, "root").select("set_key", "component_id", *extra), "jaccard-components")
+    return rows.join(named, "set_key", "left").select("doc_id", "n_shingles", "set_key", *(F.coalesce(x, F.lit(0)).alias(x) for x in extra), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

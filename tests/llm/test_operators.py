@@ -228,6 +228,34 @@ def test_both_sets_of_a_nested_pair_reach_their_need(n, m):
     assert all(len(of[i] & of[i + 1]) >= max(need[i], need[i + 1]) for i in range(0, len(sets), 2))
 
 
+def plain_links(texts):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for t in texts:
+        w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", (t or "").translate(lower)) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    return {i: sum(bool(near(a, b)) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+
+
+@pytest.mark.parametrize("chunk", [4, 1024])
+def test_jaccard_counts_every_link(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rng = random.Random(11)
+    base = prose(rng, 120).split(" ")
+    texts = ODD + families(5, 8)
+    for _ in range(40):
+        new = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            new[rng.randrange(len(new))] = rng.choice(WORDS)
+        texts += [" ".join(new)] * rng.choice([1, 1, 3])
+    got = jaccard.jaccard_components(docs_of(spark, texts)).collect()
+    want = plain_links(texts)
+    assert {r.doc_id: r.n_links for r in got} == want and max(want.values()) > 20
+    without = jaccard.jaccard_components(docs_of(spark, texts), count_links=False).collect()
+    assert {r.doc_id: r.component_id for r in got} == {r.doc_id: r.component_id for r in without} == {i: c for i, (_, c) in plain_components(texts).items()}
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.jaccard_components(docs_of(spark, [])).count() == 0
 
