@@ -8,10 +8,12 @@ document at the shingle's offset) and the length bound (it has the window's numb
 before the exact comparison of the whole run of words.
 
 Windows are broadcast in blocks of whole items whose size is bounded by max_block_bytes; a larger
-benchmark takes one pass over the documents for each block and the passes are merged by document.
+benchmark takes one pass over the documents for each block. The documents are then stored once with
+a number for each row, and the passes are merged by it.
 
 Defined cases: null, empty and word-free texts have n_words 0 and are clean; items without words
-have no window; equal items each count; an empty benchmark marks nothing; other columns are ignored.
+have no window; equal items each count; an empty benchmark marks nothing; other columns are ignored;
+every row gives a row of its own, whether or not its doc_id is null or repeated.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, bound_batches, chain, mix, starts_of, text_batches, words
+from .common import ALNUM_WORDS, bound_batches, chain, mix, starts_of, stored, text_batches, words
 
 
 @dataclass
@@ -196,8 +198,8 @@ def _merged(flat: list[int]) -> list[int]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, config: DecontaminateConfig | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (which must identify a row where the benchmark takes several blocks), n_words, n_hit,
-    items (ids with an occurring window), spans (begin and end word positions, flat) and contaminated."""
+    """For each row of docs: columns `keep`, n_words, n_hit, items (ids with an occurring window), spans
+    (begin and end word positions, flat) and contaminated."""
     config = config or DecontaminateConfig()
     keep = keep or ["doc_id"]
     bound_batches(docs.sparkSession)
@@ -205,13 +207,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamin
     sized = windows.agg(F.coalesce(F.sum(F.size("shingles") * 8 + _ROW_BYTES), F.lit(0)).alias("b")).first().b
     blocks = max(1, -(-int(sized) // config.max_block_bytes))
     passes = []
+    own = keep
+    if blocks > 1:
+        docs = stored(docs.select(*dict.fromkeys([*keep, "text"])).withColumn("row__", F.monotonically_increasing_id()), "decontaminate-docs")
+        own = ["row__"]
     for block in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect() if blocks > 1 else windows.collect()
         rows.sort(key=lambda r: (r.item, r.window))
         every = np.array(sorted({s for r in rows for s in r.shingles}), np.int64).view(np.uint64)
         sizes = sorted({min(config.shingle, r.size) for r in rows})
         counts = shingle_counts(docs, every, sizes) if rows else {}
-        passes.append(_pass(docs, _Index(rows, counts, config), keep))
+        passes.append(_pass(docs, _Index(rows, counts, config), own))
     out = passes[0]
     if blocks > 1:
         for p in passes[1:]:
@@ -223,12 +229,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamin
                 spans = [_merged([x for s in many for x in s]) for many in got["spans"]]
                 items = [sorted({x for s in many for x in s}) for many in got["items"]]
                 hits = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-                cols = [batch.column(batch.schema.get_field_index(c)) for c in [*keep, "n_words"]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64()))], [*keep, "n_words", "n_hit", "items", "spans"])
+                cols = [batch.column(batch.schema.get_field_index(c)) for c in ("row__", "n_words")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64()))], ["row__", "n_words", "n_hit", "items", "spans"])
 
         schema = out.schema.simpleString()
-        grouped = out.groupBy(*keep).agg(F.first("n_words").alias("n_words"), F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
-        out = grouped.mapInArrow(merge, schema)
+        grouped = out.groupBy("row__").agg(F.first("n_words").alias("n_words"), F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
+        out = docs.select("row__", *keep).join(grouped.mapInArrow(merge, schema), "row__").drop("row__")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(config.share) * F.col("n_hit") >= F.col("n_words")))
 
 

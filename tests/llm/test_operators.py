@@ -347,6 +347,21 @@ def test_contamination_against_brute_force(spark, block):
     assert decontaminate.find_contamination(docs_of(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 25, 2000])
+@pytest.mark.parametrize("keep", [["doc_id"], ["doc_id", "text"]])
+def test_contamination_keeps_every_row(spark, block, keep):
+    rng = random.Random(12)
+    items = [(k, prose(rng, 14)) for k in range(30)]
+    texts = [prose(rng, 20) + " " + items[i % 30][1] if i % 3 else prose(rng, 30) for i in range(40)]
+    texts += [texts[1], None, None]
+    ids = [None if i % 4 == 0 else i % 5 for i in range(len(texts) - 3)] + [1, 2, 2]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_contamination(docs_of(spark, texts, ids), bench, decontaminate.DecontaminateConfig(max_block_bytes=block), keep)
+    assert got.columns == [*keep, "n_words", "n_hit", "items", "spans", "contaminated"]
+    want = plain_contamination(texts, items)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got.collect()) == Counter((d, want[i][0], want[i][1], tuple(want[i][2]), want[i][3]) for i, d in enumerate(ids))
+
+
 # 8 archives
 
 
