@@ -12,7 +12,8 @@ benchmark takes one pass over the documents for each block. The documents are th
 a number for each row, and the passes are merged by it.
 
 Defined cases: null, empty and word-free texts have n_words 0 and are clean; items without words
-have no window; equal items each count; an empty benchmark marks nothing; other columns are ignored;
+have no window; equal items each count; items with a null id count like others, together as one null
+at the end of the ids; an empty benchmark marks nothing; other columns are ignored;
 every row gives a row of its own, whether or not its doc_id is null or repeated.
 """
 
@@ -53,7 +54,7 @@ def item_windows(benchmark: DataFrame, config: DecontaminateConfig) -> DataFrame
             for i, item in enumerate(ids):
                 w = h[at[i] : at[i + 1]]
                 size = min(config.window, len(w))
-                if not size or item is None:
+                if not size:
                     continue
                 k = min(config.shingle, size)
                 whole, small = chain(w, size), chain(w, k)
@@ -121,7 +122,7 @@ class _Index:
         self.first = np.searchsorted(rare, self.probe.keys)
         self.last = np.searchsorted(rare, self.probe.keys, side="right")
         self.item_at = np.append(0, np.cumsum([len(owners[k]) for k in keys])).astype(np.int64)
-        self.items = np.array([x for k in keys for x in owners[k]], np.int64)
+        self.items = np.array([x for k in keys for x in owners[k]], object)
         self.shingle_sizes = sorted({int(min(config.shingle, s)) for s in set(self.size.tolist())})
         self.sizes = sorted(set(self.size.tolist()))
 
@@ -180,12 +181,16 @@ def _pass(docs: DataFrame, index: _Index, keep: list[str]) -> DataFrame:
                 spans[r] += [b - int(at[r]), b - int(at[r]) + int(x.size[w])]
                 items[r].update(x.items[x.item_at[w] : x.item_at[w + 1]].tolist())
             cols = [part.column(part.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(at).astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([sorted(s) for s in items], pa.list_(pa.int64())), pa.array([_merged(s) for s in spans], pa.list_(pa.int64()))], [*keep, "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(at).astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([_ordered(s) for s in items], pa.list_(pa.int64())), pa.array([_merged(s) for s in spans], pa.list_(pa.int64()))], [*keep, "n_words", "n_hit", "items", "spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
     return source.mapInArrow(run, schema + ", n_words long, n_hit long, items array<long>, spans array<long>")
 
 
+def _ordered(items: set) -> list:
+    return sorted(items, key=lambda x: (x is None, x or 0))
+
+
 def _merged(flat: list[int]) -> list[int]:
     """Begin and end pairs of word positions, overlaps and neighbours joined."""
     out: list[int] = []
@@ -213,7 +218,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamin
         own = ["row__"]
     for block in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect() if blocks > 1 else windows.collect()
-        rows.sort(key=lambda r: (r.item, r.window))
+        rows.sort(key=lambda r: (r.item is None, r.item or 0, r.window))
         every = np.array(sorted({s for r in rows for s in r.shingles}), np.int64).view(np.uint64)
         sizes = sorted({min(config.shingle, r.size) for r in rows})
         counts = shingle_counts(docs, every, sizes) if rows else {}
@@ -227,7 +232,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamin
             for batch in batches:
                 got = batch.to_pydict()
                 spans = [_merged([x for s in many for x in s]) for many in got["spans"]]
-                items = [sorted({x for s in many for x in s}) for many in got["items"]]
+                items = [_ordered({x for s in many for x in s}) for many in got["items"]]
                 hits = [sum(s[1::2]) - sum(s[::2]) for s in spans]
                 cols = [batch.column(batch.schema.get_field_index(c)) for c in ("row__", "n_words")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64()))], ["row__", "n_words", "n_hit", "items", "spans"])
@@ -239,7 +244,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamin
 
 
 def items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(str(x) for x in items if x is not None)).encode()).hexdigest()
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -362,6 +362,37 @@ def test_contamination_keeps_every_row(spark, block, keep):
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got.collect()) == Counter((d, want[i][0], want[i][1], tuple(want[i][2]), want[i][3]) for i, d in enumerate(ids))
 
 
+@pytest.mark.parametrize("block", [1 << 25, 700])
+def test_contamination_by_items_without_id(spark, block):
+    rng = random.Random(13)
+    items = [(None, prose(rng, 20)), (None, prose(rng, 14)), (3, prose(rng, 15)), (4, prose(rng, 20))]
+    texts = [items[0][1], f"{items[1][1]} {items[2][1]} {items[0][1]}", items[3][1], prose(rng, 40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_contamination(docs_of(spark, texts), bench, decontaminate.DecontaminateConfig(max_block_bytes=block)).collect()}
+    assert [list(got[i]["items"]) for i in range(4)] == [[None], [3, None], [4], []]
+    numbered = [(i, t) for i, (_, t) in enumerate(items)]
+    want = plain_contamination(texts, numbered)
+    assert {i: (r.n_words, r.n_hit, r.contaminated) for i, r in got.items()} == {i: (w[0], w[1], w[3]) for i, w in want.items()}
+    assert decontaminate.items_digest([3, None]) == decontaminate.items_digest([3])
+
+
+def test_op7_equals_its_sql_on_items_without_id(spark, tmp_path):
+    import duckdb
+
+    from leafgrade.llm.queries import ORACLE_SQL
+
+    rng = random.Random(14)
+    items = [(None, prose(rng, 20)), (None, prose(rng, 14)), (3, prose(rng, 15)), (20, prose(rng, 20))]
+    texts = [items[0][1], f"{items[1][1]} {items[2][1]} {items[3][1]}", items[3][1], prose(rng, 40), None]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["op7_decontaminate"]).fetchall()
+    assert sorted(tuple(r) for r in decontaminate.op7_decontaminate(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 # 8 archives
 
 
