@@ -13,21 +13,22 @@ a number for each row, and the passes are merged by it.
 
 Defined cases: null, empty and word-free texts have n_words 0 and are clean; items without words
 have no window; equal items each count; items with a null id count like others, together as one null
-at the end of the ids; an empty benchmark marks nothing; other columns are ignored;
-every row gives a row of its own, whether or not its doc_id is null or repeated.
+at the end of the ids; ids of any type are taken as strings; an empty benchmark marks nothing; other
+columns are ignored; every row gives a row of its own, whether or not its doc_id is null or repeated; an
+empty table gives no row; a very long text is matched whole, in a step of its own.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, bound_batches, chain, mix, starts_of, stored, text_batches, words
+from .common import ALNUM_WORDS, bound_batches, chain, mix, passing_tables, starts_of, stored, text_batches, words
 
 
 @dataclass
@@ -39,15 +40,21 @@ class DecontaminateConfig:
     max_block_bytes: int = 32 << 20
 
 
-_ROW_BYTES = 160
+_ROW_BYTES = 300
+
+
+def _run_text(low: bytes) -> str:
+    """Words of mapped bytes (0 between words), joined by one space."""
+    return b" ".join(low.replace(b"\0", b" ").split()).decode("utf-8", "surrogateescape")
 
 
 def item_windows(benchmark: DataFrame, config: DecontaminateConfig) -> DataFrame:
-    """Rows (item, size, window, shingles): each item's distinct windows with the hashes of their shingles in order."""
+    """Rows (item, size, window, words, shingles): each item's distinct windows with the hashes of their shingles in order."""
 
     def run(batches):
         for part, buf, off in text_batches(batches):
-            h, _, _, row = words(buf, off, ALNUM_WORDS)
+            h, start, end, row = words(buf, off, ALNUM_WORDS)
+            low = ALNUM_WORDS[buf].tobytes()
             at = starts_of(row, len(off) - 1)
             ids = part.column(0).to_pylist()
             out = []
@@ -59,10 +66,13 @@ def item_windows(benchmark: DataFrame, config: DecontaminateConfig) -> DataFrame
                 k = min(config.shingle, size)
                 whole, small = chain(w, size), chain(w, k)
                 for p in np.sort(np.unique(whole, return_index=True)[1]):
-                    out.append((item, size, int(whole[p].view(np.int64)), small[p : p + size - k + 1].view(np.int64).tolist()))
-            yield pa.RecordBatch.from_pylist([dict(zip(("item", "size", "window", "shingles"), x, strict=True)) for x in out], pa.schema([("item", pa.int64()), ("size", pa.int32()), ("window", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
+                    text = _run_text(low[start[at[i] + p] : end[at[i] + p + size - 1]])
+                    out.append((item, size, int(whole[p].view(np.int64)), text, small[p : p + size - k + 1].view(np.int64).tolist()))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], kinds)
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item"), "text").mapInArrow(run, "item long, size int, window long, shingles array<long>")
+    names = ("item", "size", "window", "words", "shingles")
+    kinds = pa.schema(list(zip(names, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64())), strict=True)))
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, size int, window long, words string, shingles array<long>")
 
 
 class _Probe:
@@ -108,7 +118,7 @@ class _Index:
         owners: dict[tuple[int, int], list[int]] = {}
         prefix: dict[tuple[int, int], tuple[int, int]] = {}
         for r in rows:
-            key = (r.size, r.window)
+            key = (r.size, r.window, r.words)
             owners.setdefault(key, []).append(r.item)
             if key not in prefix:
                 at = min(range(len(r.shingles)), key=lambda i: (counts.get(r.shingles[i], 0), r.shingles[i], i))
@@ -116,6 +126,7 @@ class _Index:
         keys = sorted(prefix, key=lambda k: np.int64(prefix[k][0]).view(np.uint64))
         self.size = np.array([k[0] for k in keys], np.int64)
         self.window = np.array([k[1] for k in keys], np.int64).view(np.uint64)
+        self.words = [k[2] for k in keys]
         self.offset = np.array([prefix[k][1] for k in keys], np.int64)
         rare = np.array([prefix[k][0] for k in keys], np.int64).view(np.uint64)
         self.probe = _Probe(rare)
@@ -127,7 +138,7 @@ class _Index:
         self.sizes = sorted(set(self.size.tolist()))
 
     def match(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First word and window of each occurrence."""
+        """First word and window of each occurrence, by hash."""
         starts, found = [], []
         for k in self.shingle_sizes:
             p, which = self.probe.find(chain(h, k))
@@ -158,37 +169,40 @@ class _Index:
         return np.concatenate(starts), np.concatenate(found)
 
 
-def _pass(docs: DataFrame, index: _Index, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_block_bytes
+def _pass(docs: DataFrame, shared: Broadcast, keep: list[str]) -> DataFrame:
     source = docs.select(*keep, F.col("text").alias("text__"))
 
     def run(batches):
         x = shared.value
         for part, buf, off in text_batches(batches, "text__"):
             n = len(off) - 1
-            h, _, _, row = words(buf, off, ALNUM_WORDS)
+            h, start, end, row = words(buf, off, ALNUM_WORDS)
             at = starts_of(row, n)
             begin, which = x.match(h, row)
+            if len(begin):
+                low = ALNUM_WORDS[buf]
+                same = [_run_text(low[start[b] : end[b + x.size[w] - 1]].tobytes()) == x.words[w] for b, w in zip(begin.tolist(), which.tolist(), strict=True)]
+                begin, which = begin[same], which[same]
             edge = np.zeros(len(h) + 1, np.int64)
             np.add.at(edge, begin, 1)
             np.add.at(edge, begin + x.size[which], -1)
             hit = np.append(0, np.cumsum(np.cumsum(edge)[:-1] > 0))
             n_hit = hit[at[1:]] - hit[at[:-1]]
             spans: list[list[int]] = [[] for _ in range(n)]
-            items: list[set[int]] = [set() for _ in range(n)]
+            items: list[set[str]] = [set() for _ in range(n)]
             for b, w in zip(begin.tolist(), which.tolist(), strict=True):
                 r = int(row[b])
                 spans[r] += [b - int(at[r]), b - int(at[r]) + int(x.size[w])]
                 items[r].update(x.items[x.item_at[w] : x.item_at[w + 1]].tolist())
             cols = [part.column(part.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(at).astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([_ordered(s) for s in items], pa.list_(pa.int64())), pa.array([_merged(s) for s in spans], pa.list_(pa.int64()))], [*keep, "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(at).astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([_ordered(s) for s in items], pa.list_(pa.string())), pa.array([_merged(s) for s in spans], pa.list_(pa.int64()))], [*keep, "n_words", "n_hit", "items", "spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
-    return source.mapInArrow(run, schema + ", n_words long, n_hit long, items array<long>, spans array<long>")
+    return source.mapInArrow(run, schema + ", n_words long, n_hit long, items array<string>, spans array<long>")
 
 
 def _ordered(items: set) -> list:
-    return sorted(items, key=lambda x: (x is None, x or 0))
+    return sorted(items, key=lambda x: (x is None, x or ""))
 
 
 def _merged(flat: list[int]) -> list[int]:
@@ -207,49 +221,54 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamin
     (begin and end word positions, flat) and contaminated."""
     config = config or DecontaminateConfig()
     keep = keep or ["doc_id"]
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     windows = item_windows(benchmark, config)
     sized = windows.agg(F.coalesce(F.sum(F.size("shingles") * 8 + _ROW_BYTES), F.lit(0)).alias("b")).first().b
     blocks = max(1, -(-int(sized) // config.max_block_bytes))
-    passes = []
-    own = keep
-    if blocks > 1:
-        docs = stored(docs.select(*dict.fromkeys([*keep, "text"])).withColumn("row__", F.monotonically_increasing_id()), "decontaminate-docs")
-        own = ["row__"]
-    for block in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect() if blocks > 1 else windows.collect()
-        rows.sort(key=lambda r: (r.item is None, r.item or 0, r.window))
+
+    def block_index(docs: DataFrame, block: int) -> Broadcast:
+        some = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else windows
+        rows = sorted(some.collect(), key=lambda r: (r.item is None, r.item or "", r.window))  # bounded by max_block_bytes
         every = np.array(sorted({s for r in rows for s in r.shingles}), np.int64).view(np.uint64)
-        sizes = sorted({min(config.shingle, r.size) for r in rows})
-        counts = shingle_counts(docs, every, sizes) if rows else {}
-        passes.append(_pass(docs, _Index(rows, counts, config), own))
-    out = passes[0]
-    if blocks > 1:
-        for p in passes[1:]:
-            out = out.unionAll(p)
-
-        def merge(batches):
-            for batch in batches:
-                got = batch.to_pydict()
-                spans = [_merged([x for s in many for x in s]) for many in got["spans"]]
-                items = [_ordered({x for s in many for x in s}) for many in got["items"]]
-                hits = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-                cols = [batch.column(batch.schema.get_field_index(c)) for c in ("row__", "n_words")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64()))], ["row__", "n_words", "n_hit", "items", "spans"])
-
-        schema = out.schema.simpleString()
-        grouped = out.groupBy("row__").agg(F.first("n_words").alias("n_words"), F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
-        out = docs.select("row__", *keep).join(grouped.mapInArrow(merge, schema), "row__").drop("row__")
+        counts = shingle_counts(docs, every, sorted({min(config.shingle, r.size) for r in rows})) if rows else {}
+        return spark.sparkContext.broadcast(_Index(rows, counts, config))
+
+    if blocks == 1:
+        out = _pass(docs, block_index(docs, 0), keep)
+    else:
+        with passing_tables():
+            docs = stored(docs.select(*dict.fromkeys([*keep, "text"])).withColumn("row__", F.monotonically_increasing_id()), "decontaminate-docs", last=True)
+            hits, sizes = None, None
+            for block in range(blocks):
+                shared = block_index(docs, block)
+                found = _pass(docs, shared, ["row__"])
+                # The first pass is kept whole, for the number of words of every row.
+                found = stored(found if block == 0 else found.where("n_hit > 0"), "decontaminate-hits")
+                shared.destroy()
+                sizes = found.select("row__", "n_words") if sizes is None else sizes
+                found = found.where("n_hit > 0").select("row__", "items", "spans")
+                hits = found if hits is None else hits.unionAll(found)
+
+            def merge(batches):
+                for batch in batches:
+                    got = batch.to_pydict()
+                    spans = [_merged([x for s in many for x in s]) for many in got["spans"]]
+                    items = [_ordered({x for s in many for x in s}) for many in got["items"]]
+                    hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))], ["row__", "n_hit", "items", "spans"])
+
+            merged = hits.groupBy("row__").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans")).mapInArrow(merge, "row__ long, n_hit long, items array<string>, spans array<long>")
+            none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+            merged = sizes.join(merged, "row__", "left").select("row__", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), none("items", "array<string>"), none("spans", "array<long>"))
+            merged = stored(merged, "decontaminate-merged", last=True)
+        out = docs.join(merged, "row__").select(*keep, "n_words", "n_hit", "items", "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(config.share) * F.col("n_hit") >= F.col("n_words")))
 
 
-def items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(str(x) for x in items if x is not None)).encode()).hexdigest()
-
-
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = find_contamination(docs, benchmark)
-    joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    joined = F.array_join(F.array_sort("items"), ",")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), "contaminated")
