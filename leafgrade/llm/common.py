@@ -7,13 +7,16 @@ word has the same hash in every batch and on every executor.
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text that one numpy step handles at a time; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -24,21 +27,54 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; a default is set only where that is unset."""
+    """A fresh folder under spark.checkpoint.dir.
+
+    Where that is unset, a session in one process (local mode, as in tests) gets a temporary folder; on a
+    cluster it is an error, as executors would not see each other's files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/checkpoints/leafgrade"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='leafgrade-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared scratch folder: lineage ends there."""
-    path = scratch(df.sparkSession, name)
+#: For each passing_tables block that is open, the scratch tables made in it.
+_passing: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def passing_tables() -> Iterator[None]:
+    """Tables that `stored` makes inside the block are deleted at its end, but those stored with last=True."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _passing.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str, last: bool = False) -> DataFrame:
+    """The rows of df as a Parquet table in the shared scratch folder: lineage ends there.
+
+    A `last` table outlives the passing_tables block around it; the block outside that one owns it.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    owners = _passing[:-1] if last else _passing
+    if owners:
+        owners[-1].append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +114,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; release() forgets those that a very long text needed."""
     if len(_powers.get("up", ())) < n:
         size = max(n, STEP_BYTES + 1024)
         for key, base in (("up", _BASE), ("down", _BASE_INV)):
@@ -172,6 +209,8 @@ def release(keep: str = "") -> None:
     for name, clear in caches.items():
         if name != keep:
             clear()
+    if len(_powers.get("up", ())) > STEP_BYTES + 1024:
+        _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -198,6 +237,12 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def within_bytes(sample: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
+    """Rows of a bounded sample, in `order` for each value of `by`, until their texts add up to `most` bytes."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return sample.withColumn("sum__", F.sum(size).over(Window.partitionBy(by).orderBy(*order)) - size).where(F.col("sum__") < most).drop("sum__")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
