@@ -5,7 +5,8 @@ frequency table that all blocks share, and blocks of BLOCK tokens. A block inter
 states into one stream of 16-bit words: token i belongs to lane i % LANES, and at each step the lanes
 that need a word take the next ones in lane order. Every CHECKPOINT steps the states and the place in
 the stream are stored, so each such segment can be decoded alone and all segments of a file are decoded
-side by side. Each block has a CRC-32 of its stored bytes; the reader refuses a block that differs.
+side by side. The head (documents' ids, lengths and the frequency table) and each block have a CRC-32 of
+their stored bytes; the reader refuses a file in which one differs.
 
 Vocabularies of up to 2**16 different ids in one file are supported. Encoding and decoding are numpy
 over all lanes of all blocks at once.
@@ -18,13 +19,14 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"LGRANS01"
+MAGIC = b"LGRANS02"
 LANES, BLOCK, CHECKPOINT = 64, 1 << 15, 128
 _SCALE = 16
 _TOTAL = 1 << _SCALE
 _LOW = 1 << 16
 _HEAD = struct.Struct("<8sIQQI")  # magic, documents, tokens, tokens of this part before the file, symbols
-_BLOCK_HEAD = struct.Struct("<IIII")  # tokens, words, checkpoints, crc32 of what follows
+_BLOCK_HEAD = struct.Struct("<III")  # tokens, words, checkpoints
+_SUM = struct.Struct("<I")  # CRC-32 of the bytes before, back to the last one
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -70,7 +72,8 @@ def _write_blocks(symbols: np.ndarray, tokens: int, freq: np.ndarray, cum: np.nd
         places = np.append(0, np.cumsum(mask[b].sum(axis=1)))
         points = sorted(states)
         body = b"".join([np.array([places[i] for i in points], "<u4").tobytes(), np.stack([states[i][b] for i in points]).astype("<u4").tobytes(), words[b][mask[b]].astype("<u2").tobytes()])
-        out.append(_BLOCK_HEAD.pack(tokens, int(places[-1]), len(points), zlib.crc32(body)) + body)
+        body = _BLOCK_HEAD.pack(tokens, int(places[-1]), len(points)) + body
+        out.append(body + _SUM.pack(zlib.crc32(body)))
     return out
 
 
@@ -92,6 +95,9 @@ def write(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, befor
         freq = frequencies(counts.astype(np.float64))
         cum = np.append(0, np.cumsum(freq))[:-1]
         parts += [table.astype("<u4").tobytes(), freq.astype("<u4").tobytes()]
+    head = b"".join(parts)
+    parts = [head, _SUM.pack(zlib.crc32(head))]
+    if len(ids):
         whole = len(ids) // BLOCK
         for at in range(0, whole, 64):
             n = min(64, whole - at)
@@ -104,12 +110,20 @@ def write(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, befor
     return b"".join(parts)
 
 
+def _checked(data: bytes, begin: int, end: int) -> int:
+    """The place behind the checksum of data[begin:end]; raises ValueError where it differs."""
+    if end + _SUM.size > len(data) or _SUM.unpack_from(data, end)[0] != zlib.crc32(memoryview(data)[begin:end]):
+        raise ValueError("checksum of a token file differs")
+    return end + _SUM.size
+
+
 def read(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
     """Documents' ids, their numbers of tokens, all tokens, and the tokens of the part before the file."""
     magic, docs, tokens, before, symbols = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = _HEAD.size
+    blocks = _checked(data, 0, at + 13 * docs + 8 * symbols)
     known = np.frombuffer(data, np.uint8, docs, at)
     ids = np.frombuffer(data, "<i8", docs, at + docs)
     lengths = np.frombuffer(data, "<u4", docs, at + 9 * docs).astype(np.int64)
@@ -117,7 +131,7 @@ def read(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
     at += 13 * docs
     table = np.frombuffer(data, "<u4", symbols, at)
     freq = np.frombuffer(data, "<u4", symbols, at + 4 * symbols).astype(np.uint64)
-    at += 8 * symbols
+    at = blocks
     out = np.zeros(tokens, np.uint32)
     if not tokens:
         return doc_ids, lengths, out, before
@@ -128,11 +142,11 @@ def read(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
     lanes, places, steps, firsts, words = [], [], [], [], []
     size = done = 0
     while done < tokens:
-        n, count, points, crc = _BLOCK_HEAD.unpack_from(data, at)
-        at += _BLOCK_HEAD.size
-        body = points * 4 * (1 + LANES) + 2 * count
-        if zlib.crc32(data[at : at + body]) != crc:
-            raise ValueError("checksum of a token block differs")
+        if at + _BLOCK_HEAD.size > len(data):
+            raise ValueError("a token file ends early")
+        n, count, points = _BLOCK_HEAD.unpack_from(data, at)
+        begin, at = at, at + _BLOCK_HEAD.size
+        after = _checked(data, begin, at + points * 4 * (1 + LANES) + 2 * count)
         places.append(np.frombuffer(data, "<u4", points, at).astype(np.int64) + size)
         lanes.append(np.frombuffer(data, "<u4", points * LANES, at + 4 * points).reshape(points, LANES))
         words.append(np.frombuffer(data, "<u2", count, at + 4 * points * (1 + LANES)))
@@ -141,7 +155,7 @@ def read(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
         firsts.append(done + CHECKPOINT * LANES * np.arange(points))
         size += count
         done += n
-        at += body
+        at = after
     x = np.concatenate(lanes).astype(np.uint64)
     place, step, first = np.concatenate(places), np.concatenate(steps), np.concatenate(firsts)
     stream = np.append(np.concatenate(words), np.zeros(LANES, np.uint16)).astype(np.uint64)

@@ -1,12 +1,15 @@
 """Token-id files of a corpus: encode, write in document order, read back.
 
 Texts are tokenized by the tokenizers library a word at a time (its vocabulary drops white space, so
-no token spans a space or a line break) with a bounded cache of words, and an end id closes each
-document. Documents are range-partitioned by doc_id; each task writes its files of at most FILE_TOKENS
-tokens under names that a repeated attempt writes again with the same bytes.
-
-Defined cases: null and empty texts are the end id alone; null doc_ids come first; equal doc_ids are in
-the order of their texts; repeated rows repeat; an empty table writes no file.
+no token spans a space or a line break) with a bounded cache of words; special tokens written out in a
+text are cut out first, as the library does. An end id closes each document. Documents are
+range-partitioned by doc_id and place in the table, so one doc_id may fill many tasks; each task writes
+its files of at most FILE_TOKENS tokens under names of its own attempt, and a manifest of the attempts
+that succeeded. Only the files that the manifest names are read back.
+
+Defined cases: null and empty texts are the end id alone; null doc_ids come first; rows of equal doc_id
+are in the order of the table; repeated rows repeat; an empty table writes no file and gives no row; a
+very long text is encoded whole and may make its file longer; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,9 +50,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # Words are lower-cased before they are coded, and must not become special tokens by that.
         self.library.encode_special_tokens = True
+        special = self.library.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in special.values()):
+            raise ValueError("special tokens with conditions are not supported")
+        names = sorted((t.content.encode() for t in special.values()), key=len, reverse=True)
+        self.special = re.compile(b"(" + b"|".join(map(re.escape, names)) + b")") if names else None
+        self.sign = os.path.commonprefix(names)  # spares most texts the search
+        #: A special token's key has a space before it, as no word has.
+        self.always = {b"": b"", **{b" " + t.content.encode(): np.array([i], np.uint32).tobytes() for i, t in special.items()}}
         self.mark = self.library.encode(_MARK, add_special_tokens=False).ids
-        self.cache: dict[bytes, bytes] = {b"": b""}
+        self.cache: dict[bytes, bytes] = dict(self.always)
 
     def _learn(self, new: list[bytes]) -> None:
         alone = [w for w in new if b"\x01" in w]
@@ -71,14 +83,19 @@ class WordTokenizer:
         for w in alone:
             self.cache[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def _words(self, raw: bytes) -> list[bytes]:
+        if self.special is not None and self.sign in raw and len(parts := self.special.split(raw)) > 1:
+            return [w for k, part in enumerate(parts) for w in ([b" " + part] if k % 2 else self._words(part))]
+        raw = raw.translate(_LOWER).replace(b"\n", b" ")
+        raw = _STOP.sub(rb" \1", raw) if _OTHER_STOP.search(raw) else raw.replace(b", ", b" , ").replace(b". ", b" . ")
+        return raw.split(b" ")
+
     def encode(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {b"": b""}
+            self.cache = dict(self.always)
         words, at = [], [0]
         for t in texts:
-            raw = (t if isinstance(t, bytes) else t.encode("utf-8", "replace")).translate(_LOWER).replace(b"\n", b" ")
-            raw = _STOP.sub(rb" \1", raw) if _OTHER_STOP.search(raw) else raw.replace(b", ", b" , ").replace(b". ", b" . ")
-            words += raw.split(b" ")
+            words += self._words(t if isinstance(t, bytes) else t.encode("utf-8", "replace"))
             at.append(len(words))
         if new := set(words).difference(self.cache):
             self._learn(sorted(new))
@@ -91,7 +108,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 def _forget() -> None:
     for t in _tokenizers.values():
-        t.cache = {b"": b""}
+        t.cache = dict(t.always)
 
 
 caches["words"] = _forget
@@ -104,33 +121,28 @@ def tokenizer_at(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def _put(fs: pyarrow.fs.FileSystem, path: str, data: bytes) -> None:
-    part = f"{path}.{os.getpid()}.tmp"
-    with fs.open_output_stream(part) as f:
-        f.write(data)
-    fs.move(part, path)
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Write files below folder (a URI that pyarrow.fs opens on every executor); rows (part, file, n_docs, n_tokens, bytes)."""
     bound_batches(docs.sparkSession)
     n = partitions or shuffle_partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("at"))
+    ordered = placed.repartitionByRange(n, F.asc_nulls_first("doc_id"), "at").sortWithinPartitions(F.asc_nulls_first("doc_id"), "at").select("doc_id", "text")
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
 
     def run(batches):
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        part = TaskContext.get().partitionId()
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         tokenizer = tokenizer_at(tokenizer_path)
         end = np.array([end_id], np.uint32)
         docs, sizes, ids, count, before, k = [], [], [], 0, 0, 0
 
         def flush():
             nonlocal docs, sizes, ids, count, before, k
-            name = f"part-{part:06d}-{k:05d}.rans"
+            name = f"part-{part:06d}-{k:05d}-{attempt}.rans"
             data = rans.write(docs, np.array(sizes), np.concatenate(ids), before)
-            _put(fs, f"{base}/{name}", data)
+            with fs.open_output_stream(f"{base}/{name}") as f:
+                f.write(data)
             row = pa.RecordBatch.from_pylist([{"part": part, "file": name, "n_docs": len(docs), "n_tokens": count, "bytes": len(data)}])
             before, k = before + count, k + 1
             docs, sizes, ids, count = [], [], [], 0
@@ -153,19 +165,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
 def read_token_files(spark, folder: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32[, ids]) of every document in the files, decoded and verified."""
-    sizes = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row for each part
+    sizes = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("files")).orderBy("part").collect()  # a row for each part
     base, total = {}, 0
     for r in sizes:
         base[r.part] = total
         total += r.n
     starts = spark.sparkContext.broadcast(base)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(folder).select("path", "content") if sizes else spark.createDataFrame([], "path string, content binary")
+    files = manifest.select("part", "file").repartition(max(1, sum(r.files for r in sizes)))
 
     def run(batches):
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for k in range(len(batch)):
-                part = int(batch.column(0)[k].as_py().rsplit("/", 1)[1].split("-")[1])
-                docs, sizes, ids, before = rans.read(batch.column(1)[k].as_py())
+            for part, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_input_stream(f"{root}/{name}") as f:
+                    docs, sizes, ids, before = rans.read(f.read())
                 at = np.append(0, np.cumsum(sizes))
                 little = ids.astype("<u4")
                 crc = [zlib.crc32(little[at[i] : at[i + 1]]) for i in range(len(docs))]
