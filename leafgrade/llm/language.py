@@ -12,7 +12,8 @@ of correctly labelled held-back texts falls.
 
 Defined cases: null texts and texts without a letter get lang_pred `und` and score 0; a text with
 letters always gets a learned value (`rejected` says whether to trust it); without any labelled row
-every text is `und`. Repeated rows predict alike; other columns are ignored.
+every text is `und`. Repeated rows predict alike; of a doc_id's several texts in one language the least is
+learned; an empty table gives no row; a very long text is a step of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BYTE_CODE, bound_batches, mix, text_batches
+from .common import BYTE_CODE, bound_batches, mix, text_batches, within_bytes
 
 
 @dataclass
 class LanguageConfig:
-    """max_per_lang bounds the labelled rows that training reads (those least by a hash of doc_id), max_pieces_per_lang the pieces of them that one epoch visits."""
+    """max_per_lang bounds the labelled rows that training reads (those least by a hash of doc_id), max_bytes_per_lang
+    their texts, max_pieces_per_lang the pieces of them that one epoch visits."""
 
     max_per_lang: int = 700
+    max_bytes_per_lang: int = 8 << 20
     max_pieces_per_lang: int = 1500
     bits: int = 16
     dim: int = 16
@@ -185,14 +189,11 @@ def fit(docs: DataFrame, learn: Column, config: LanguageConfig | None = None) ->
     """Train on a bounded sample of the rows with a language for which `learn` holds."""
     config = config or LanguageConfig()
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    langs = sorted(r[0] for r in known.select("lang").distinct().collect())  # one row a language
-    sample = None
-    for x in langs:
-        part = known.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(config.max_per_lang)
-        sample = part if sample is None else sample.unionAll(part)
-    if sample is None:
-        return train([], [], config)
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(sample.distinct()), "doc_id").toArrow().sort_by("doc_id")  # bounded by the limits above
+    key = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(*key))  # Catalyst keeps the least of each task before the shuffle
+    sample = known.select("doc_id", "lang").withColumn("k__", first).where(F.col("k__") <= config.max_per_lang).select("doc_id", "lang").distinct()
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = within_bytes(texts, "lang", key, config.max_bytes_per_lang).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), config)
 
 
