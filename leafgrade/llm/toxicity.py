@@ -6,7 +6,9 @@ Training maximises the likelihood of document labels through the noisy-or (AdaGr
 an L1 shrink), so the sentences that explain a label are located without sentence labels.
 
 Defined cases: null, empty and word-free texts have no sentence and score 0.0; without a labelled
-row of each class every score is 0.0; repeated rows score alike; columns other than the named ones are ignored.
+row of each class every score is 0.0; repeated rows score alike; of a doc_id's several labels the largest
+and of its several texts the least is learned; an empty table gives no row; a very long text is scored
+whole, in a step of its own; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, bound_batches, steps, text_batches, text_buffer, words
+from .common import ALNUM_WORDS, bound_batches, steps, text_batches, text_buffer, within_bytes, words
 
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
@@ -26,9 +28,10 @@ THRESHOLD = 0.7
 
 @dataclass
 class ToxicityConfig:
-    """max_labelled_per_class bounds the labelled rows that training reads (those least by a hash of doc_id)."""
+    """max_labelled_per_class bounds the labelled rows that training reads (those least by a hash of doc_id), max_bytes_per_class their texts."""
 
     max_labelled_per_class: int = 4000
+    max_bytes_per_class: int = 32 << 20
     bits: int = 19
     epochs: int = 6
     batch_docs: int = 64
@@ -150,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, config: ToxicityConfi
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(key, "doc_id").limit(config.max_labelled_per_class)
         sample = part if sample is None else sample.unionAll(part)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # bounded by the limit above
-    rows = texts.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
+    # Bounded by the limit above; of several texts of one doc_id the least is read.
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = within_bytes(texts, "toxic", [key, F.col("doc_id")], config.max_bytes_per_class).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
     return train(rows.column("text"), rows.column("toxic").to_numpy(), config)
 
 
