@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from leafgrade.llm import arc_warc, common, decontaminate, jaccard, language, mjpeg, rans, sentencepiece_bpe, suffix_dedup, token_counts, token_files, toxicity
@@ -118,17 +119,20 @@ def test_rans_round_trip(n):
 
 def test_rans_detects_damage():
     data = bytearray(rans.write([1], np.array([1000]), np.arange(1000, dtype=np.uint32)))
-    data[-5] ^= 1
-    with pytest.raises(ValueError):
-        rans.read(bytes(data))
+    for at in [*range(0, 32, 3), 40, 60, 500, 4000, len(data) // 2, len(data) - 5, len(data) - 1]:
+        bad = bytearray(data)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            rans.read(bytes(bad))
 
 
 def test_word_tokenizer_equals_the_library():
-    t = token_files.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, library = token_files.WordTokenizer(path), tokenizers.Tokenizer.from_file(path)
     rng = random.Random(4)
-    parts = list("abZ ,.\n'1é日Σß\t\x01\x1c　-") + ["'s", "'RE", "ing ", ". ", ", ", "<|endoftext|>", "İ"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    assert [g.tolist() for g in t.encode(texts)] == [t.library.encode(x, add_special_tokens=False).ids for x in texts]
+    parts = list("abZ ,.\n'1é日Σß\t\x01\x1c　-<|>") + ["'s", "'RE", "ing ", ". ", ", ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "e\u0301", "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    assert [g.tolist() for g in t.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_token_files(spark):
@@ -138,7 +142,7 @@ def test_token_files(spark):
     folder = common.scratch(spark, "files")
     manifest = token_files.write_token_files(docs_of(spark, texts, ids), folder, path, 1, partitions=3)
     got = token_files.read_token_files(spark, folder, manifest).collect()
-    library = token_files.WordTokenizer(path).library
+    library = tokenizers.Tokenizer.from_file(path)
     at, want = 0, []
     for d, t in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0)):
         tokens = [*library.encode(t or "", add_special_tokens=False).ids, 1]
@@ -326,7 +330,7 @@ def plain_contamination(texts, items):
             for i in range(len(w) - n + 1) if n else ():
                 if tuple(w[i : i + n]) in windows:
                     hit |= set(range(i, i + n))
-                    found.add(k)
+                    found.add(str(k))
         out[d] = (len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w))
     return out
 
@@ -369,11 +373,17 @@ def test_contamination_by_items_without_id(spark, block):
     texts = [items[0][1], f"{items[1][1]} {items[2][1]} {items[0][1]}", items[3][1], prose(rng, 40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.find_contamination(docs_of(spark, texts), bench, decontaminate.DecontaminateConfig(max_block_bytes=block)).collect()}
-    assert [list(got[i]["items"]) for i in range(4)] == [[None], [3, None], [4], []]
+    assert [list(got[i]["items"]) for i in range(4)] == [[None], ["3", None], ["4"], []]
     numbered = [(i, t) for i, (_, t) in enumerate(items)]
     want = plain_contamination(texts, numbered)
     assert {i: (r.n_words, r.n_hit, r.contaminated) for i, r in got.items()} == {i: (w[0], w[1], w[3]) for i, w in want.items()}
-    assert decontaminate.items_digest([3, None]) == decontaminate.items_digest([3])
+
+
+def test_contamination_by_items_with_names(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    bench = spark.createDataFrame([("b-1", item), ("b-2", item)], "item_id string, text string")
+    got = decontaminate.find_contamination(docs_of(spark, ["x " + item.upper().replace(" ", ", "), item[4:50]]), bench).orderBy("doc_id").collect()
+    assert [(list(r["items"]), r.n_hit) for r in got] == [(["b-1", "b-2"], 14), ([], 0)]
 
 
 def test_op7_equals_its_sql_on_items_without_id(spark, tmp_path):
@@ -399,17 +409,56 @@ def test_op7_equals_its_sql_on_items_without_id(spark, tmp_path):
 def test_archives(spark):
     html = ["<p>a</p>", "<p>a</p>", None, "", "b\r\n\r\nc", "<p>a</p>", "é" * 3000, "last"]
     rows = [(i, None if i == 4 else f"http://x.example/{i} {i}", h) for i, h in enumerate(html)]
+    # Repeated rows, one page id with two payloads, and rows without a page id.
+    rows += [(5, "u", "<p>a</p>"), (5, "u", "<p>a</p>"), (7, "u", "other"), (None, "u", "<p>a</p>"), (None, None, None)]
     folder = common.scratch(spark, "arc")
-    arc_warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
-    got = {r.page_id: r for r in arc_warc.read_archives(spark, folder).collect()}
+    manifest = arc_warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = arc_warc.read_archives(folder, manifest).collect()
     best = {}
-    for i, h in enumerate(html):
-        best[h or ""] = i
-    for i, h in enumerate(html):
+    for i, _, h in rows:
+        best[h or ""] = max(best.get(h or "", -1), -1 if i is None else i)
+    want = Counter()
+    for i, _, h in rows:
         raw, first = (h or "").encode(), best[h or ""]
-        want = (len(raw), arc_warc.digest(raw), "response" if first == i else "revisit", None if first == i else first)
-        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want
-    assert got[0].url == "http://x.example/0%200" and got[4].url == "about:blank" and got[1].warc_date == "1997-01-01T00:00:01Z"
+        own = i is None or i == first
+        want[i, len(raw), arc_warc.digest(raw), "response" if own else "revisit", None if own else first] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    assert len({r.record_id for r in got}) == len(rows)
+    one = {r.page_id: r for r in got}
+    assert one[0].url == "http://x.example/0%200" and one[4].url == "about:blank" and one[1].warc_date == "1997-01-01T00:00:01Z"
+    # A file that the manifest doesn't name is not read.
+    with open(folder.removeprefix("file://") + "/part-000000-00000-999999.warc.gz", "wb") as f:
+        f.write(b"left behind")
+    assert arc_warc.read_archives(folder, manifest).count() == len(rows)
+
+
+def test_archives_of_an_empty_table(spark):
+    folder = common.scratch(spark, "arc")
+    manifest = arc_warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
+    assert arc_warc.read_archives(folder, manifest).collect() == []
+
+
+def test_altered_payloads_are_refused():
+    row = {"date": "19970101000000", "url": "u", "ip": "0.0.0.0", "data": b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nab"}
+    record = arc_warc.warc_record(row, arc_warc.record_id(3, 4))
+    names, block = next(arc_warc.parse_warc(zlib.compress(record, wbits=31)))
+    assert arc_warc.payload_of(names, block) == (2, arc_warc.digest(b"ab")) and arc_warc.page_of(names["WARC-Record-ID"]) == 4
+    with pytest.raises(ValueError):
+        arc_warc.payload_of(names, block[:-1] + b"c")
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_arc_files_are_converted(spark, tmp_path, packed):
+    want = {}
+    for version in (1, 2):
+        records = [(f"http://{version}/{k}", "20010203040506", b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody %d" % k) for k in range(3)]
+        data = arc_warc.arc_file(records, version)
+        (tmp_path / f"v{version}.arc").write_bytes(zlib.compress(data[:150], wbits=31) + zlib.compress(data[150:], wbits=31) if packed else data)
+        want |= {u: arc_warc.digest(d.partition(b"\r\n\r\n")[2]) for u, _, d in records}
+    folder = common.scratch(spark, "warc")
+    got = arc_warc.read_archives(folder, arc_warc.convert_arc(spark, f"file://{tmp_path}", folder)).collect()
+    assert {r.url: r.payload_digest for r in got} == want and len({r.record_id for r in got}) == 6
+    assert {(r.record_type, r.warc_date, r.payload_bytes) for r in got} == {("response", "2001-02-03T04:05:06Z", 6)}
 
 
 @pytest.mark.parametrize("version", [1, 2])
