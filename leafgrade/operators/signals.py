@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import tokens as T
+from ..scratch import stored
 
 
 @dataclass
@@ -42,18 +43,39 @@ def garbled(pages: DataFrame, config: QualityConfig | None = None) -> DataFrame:
     }).drop("words__", "found__")
 
 
+#: Judged words up to which every task gets them all (some 60 bytes each).
+BROADCAST_WORDS = 2_000_000
+#: Beyond that, words that make up more than one in so many of the (page, word) pairs go to every task.
+HOT_SHARE = 100_000
+
+
+def judged_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Rows (word, known, valid) of the distinct words: in the vocabulary, or built like a word."""
+    listed = vocab.select(F.col("word").alias("lower__")).distinct().withColumn("known", F.lit(True))
+    each = words.select("word").distinct().withColumn("lower__", F.lower("word")).join(listed, "lower__", "left")
+    known = F.coalesce("known", F.lit(False))
+    return each.select("word", known.alias("known"), (known | T.structurally_valid(F.col("word"))).alias("valid"))
+
+
 def dictionary(pages: DataFrame, vocab: DataFrame, key: list[str]) -> DataFrame:
     """Rows key + (known, structured, unknown, scored, dictionary_score) for every page.
 
-    Pages explode into words that meet the vocabulary by a join (broadcast by Catalyst where its size
-    allows); counts are pre-aggregated in each task before pages are put together.
+    Distinct words are judged once and meet the pages' words again by a broadcast of checked size. A larger
+    table is split: its commonest words (a bounded number) are broadcast, the others meet the counted words
+    of each page by a shuffle in which no word is hot.
     """
     words = pages.select(*key, F.explode(T.tokens(F.col("text"))).alias("token")).select(*key, T.dictionary_word(F.col("token")).alias("word")).where(T.is_scored(F.col("word")))
-    listed = vocab.select(F.col("word").alias("lower")).distinct().withColumn("listed", F.lit(True))
-    marked = words.withColumn("lower", F.lower("word")).join(listed, "lower", "left")
-    known = F.col("listed").isNotNull()
-    valid = T.structurally_valid(F.col("word"))
-    counts = marked.groupBy(*key).agg(F.count_if(known).alias("known"), F.count_if(~known & valid).alias("structured"), F.count_if(~known & ~valid).alias("unknown"), F.count("*").alias("scored"))
+    judged = stored(judged_words(words, vocab), "judged-words")
+    if judged.count() <= BROADCAST_WORDS:
+        marked = words.join(F.broadcast(judged), "word").withColumn("n", F.lit(1).cast("long"))
+    else:
+        counted = stored(words.groupBy(*key, "word").agg(F.count("*").alias("n")), "page-words")
+        hot = counted.groupBy("word").agg(F.count("*").alias("pages")).where(F.col("pages") > counted.count() // HOT_SHARE).select("word")
+        hot = stored(judged.join(hot, "word"), "hot-words")  # HOT_SHARE rows at most
+        marked = counted.join(F.broadcast(hot), "word").unionByName(counted.join(F.broadcast(hot), "word", "left_anti").join(judged, "word"))
+    known, valid, n = F.col("known"), F.col("valid"), F.col("n")
+    share = lambda which: F.sum(F.when(which, n).otherwise(0))
+    counts = marked.groupBy(*key).agg(share(known).alias("known"), share(~known & valid).alias("structured"), share(~valid).alias("unknown"), F.sum(n).alias("scored"))
     joined = pages.select(*key).join(counts, key, "left").na.fill(0, ["known", "structured", "unknown", "scored"])
     score = F.when(F.col("scored") == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("known") + 0.5 * F.col("structured")) / F.col("scored"))), 4))
     return joined.withColumn("dictionary_score", score)
@@ -77,6 +99,11 @@ def confidence(words: Column) -> dict[str, Column]:
     }
 
 
+def with_words(pages: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
+    """Pages with the word confidences (a column `words`) that were read for them; null where none were."""
+    return pages.join(words.select(*key, "words"), key, "left")
+
+
 def composite(garbled_score: Column, dictionary_score: Column, confidence_score: Column | None = None) -> Column:
     """The weighted mean of the signals that are there, with the limits of very high and very low confidence."""
     a, b = L.WEIGHTS_WITHOUT_CONFIDENCE, L.WEIGHTS_WITH_CONFIDENCE
@@ -103,12 +130,16 @@ def page_quality(pages: DataFrame, vocab: DataFrame, key: list[str], config: Qua
     """All signals of every page, the composite score and the flag; `words` names a confidence column."""
     c = config or QualityConfig()
     out = garbled(pages, c).join(dictionary(pages, vocab, key), key)
-    conf = None
     if words is not None:
         out = out.withColumns(confidence(F.col(words)))
-        conf = F.col("confidence_score")
-    out = out.withColumn("score", composite(F.col("garbled_score"), F.col("dictionary_score"), conf))
-    return out.withColumn("flagged", is_flagged(F.col("score"), F.col("garbled_score"), F.col("dictionary_score"), conf, c))
+    return scored(out, c)
+
+
+def scored(signalled: DataFrame, config: QualityConfig | None = None) -> DataFrame:
+    """Adds score and flagged to rows with garbled_score, dictionary_score and, where known, confidence_score."""
+    conf = F.col("confidence_score") if "confidence_score" in signalled.columns else None
+    out = signalled.withColumn("score", composite(F.col("garbled_score"), F.col("dictionary_score"), conf))
+    return out.withColumn("flagged", is_flagged(F.col("score"), F.col("garbled_score"), F.col("dictionary_score"), conf, config))
 
 
 def bad_pages(scored: DataFrame, key: list[str]) -> DataFrame:

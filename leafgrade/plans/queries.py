@@ -10,6 +10,7 @@ from ..functions import lexicon as L
 from ..functions import tokens as T
 from ..functions import transforms as X
 from ..operators import batching, coverage, diagnostics, rollups, signals
+from ..scratch import derived
 from . import oracle as O
 
 KEY = ["filename", "page_number"]
@@ -27,12 +28,26 @@ def query(sql: str | None = None):
     return add
 
 
+def _inputs(d: str) -> list[str]:
+    return [f"{d}/documents.parquet", f"{d}/labels.parquet"]
+
+
 def _vocab(spark: SparkSession, d: str) -> DataFrame:
-    return signals.vocabulary(sources.table(spark, d, "documents"), sources.table(spark, d, "labels"))
+    return derived(spark, _inputs(d), "vocabulary", lambda: signals.vocabulary(sources.table(spark, d, "documents"), sources.table(spark, d, "labels")))
+
+
+def _dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return derived(spark, _inputs(d), "dictionary", lambda: signals.dictionary(sources.document_pages(spark, d), _vocab(spark, d), KEY))
 
 
 def quality(spark: SparkSession, d: str) -> DataFrame:
-    return signals.page_quality(sources.document_pages(spark, d), _vocab(spark, d), KEY)
+    """Scores of every page without its text, made once a session: most queries begin here."""
+
+    def make() -> DataFrame:
+        marked = signals.garbled(sources.document_pages(spark, d)).drop("text", "doc_id", "sample_issues", "sample_context")
+        return signals.scored(marked.join(_dictionary(spark, d), KEY))
+
+    return derived(spark, _inputs(d), "quality", make)
 
 
 def diagnosed(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +90,7 @@ def garbled_context(spark, d):
 
 @query(f"WITH {O.TOKENS}, {O.DICTIONARY} SELECT filename, page_number, known, structured, unknown, scored, dictionary_score FROM dic")
 def dictionary_by_page(spark, d):
-    return signals.dictionary(sources.document_pages(spark, d), _vocab(spark, d), KEY).select(*KEY, "known", "structured", "unknown", "scored", "dictionary_score")
+    return _dictionary(spark, d).select(*KEY, "known", "structured", "unknown", "scored", "dictionary_score")
 
 
 _WORDS = ["ab", "strngthsx", "aeiouy", "aaeeiioou", "hellooooo", "banana", "xzxzxz", "ananan", "aaabaaab", "mississippi", "Bewusstsein", "éèêëé", "rhythm", "x", "brrrr", "lalala", "pppppppp"]

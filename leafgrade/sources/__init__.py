@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.ranking import placed
+from ..scratch import derived
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,9 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` as pages (filename, page_number from 0, text): a source is a file, doc_id gives the order."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("filename"), (F.row_number().over(order) - 1).cast("long").alias("page_number"), "text", "doc_id")
+    """`documents` as pages (filename, page_number from 0, text, doc_id): a source is a file, doc_id (a key) gives the order.
+
+    Numbers come from the narrow columns alone; texts move once, by doc_id, when the table is made.
+    """
+
+    def make() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        numbers = placed(docs.select("source", "doc_id"), ["source"], ["doc_id"], "page_number")
+        return docs.select("doc_id", "text").join(numbers, "doc_id").select(F.col("source").alias("filename"), "page_number", "text", "doc_id")
+
+    return derived(spark, [f"{sf_dir}/documents.parquet"], "pages", make)
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
@@ -45,6 +55,23 @@ def listed_files(found: DataFrame, names: list[str]) -> tuple[DataFrame, DataFra
     return wanted.join(found, "filename").orderBy("pos"), wanted.join(found, "filename", "left_anti").orderBy("pos").select("filename")
 
 
+def discovered(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = False, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Files (path, content) of a folder, all or those named, and the names that have no file.
+
+    A name must have the pattern's suffix, in any case of letters.
+    """
+    reader = spark.read.format("binaryFile")
+    reader = reader.option("recursiveFileLookup", "true") if recursive else reader
+    suffix = pattern.rpartition(".")[2].lower() if "." in pattern else ""
+    if not names:
+        return reader.option("pathGlobFilter", pattern).load(folder).select("path", "content"), []
+    found = reader.load(folder).where(file_name("path").isin(names))
+    if suffix:
+        found = found.where(F.lower(file_suffix("path")) == f".{suffix}")
+    there = {r.name for r in found.select(file_name("path").alias("name")).distinct().collect()}  # of the names given
+    return found.select("path", "content"), [n for n in names if n not in there]
+
+
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """One word a line: trimmed, lower-cased, blank lines dropped, distinct."""
     word = F.lower(F.trim("value"))
