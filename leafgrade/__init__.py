@@ -1,24 +1,21 @@
 """Document-quality analytics on PySpark."""
 
-from .callbacks import LoggingCallback, ModelEvent, NullCallback, PhaseEvent, ProgressEvent, RunCallback
 from .config import ConfigurationError, DocumentError, EngineError, EnvironmentProblems, LeafgradeError, MissingDependencyError, RunConfig
+from .events import Event, Receiver, to_log
 from .operators.languages import resolve_languages
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
 
 __all__ = [
     "ConfigurationError",
     "DocumentError",
     "EngineError",
     "EnvironmentProblems",
+    "Event",
     "LeafgradeError",
-    "LoggingCallback",
     "MissingDependencyError",
-    "ModelEvent",
-    "NullCallback",
-    "PhaseEvent",
-    "ProgressEvent",
-    "RunCallback",
+    "Receiver",
     "RunConfig",
     "resolve_languages",
+    "to_log",
 ]

@@ -12,28 +12,24 @@ class LeafgradeError(Exception):
     """Base of all errors of this package."""
 
 
-class EngineError(LeafgradeError):
-    """A text-recognition engine failed."""
-
-
-class FirstEngineError(EngineError):
-    pass
-
-
-class SecondEngineError(EngineError):
-    pass
+class ConfigurationError(LeafgradeError):
+    """A setting has a value that can't be used."""
 
 
 class DocumentError(LeafgradeError):
     """A file can't be read."""
 
 
-class ConfigurationError(LeafgradeError):
-    pass
+class EngineError(LeafgradeError):
+    """A text-recognition engine failed; `engine` names it."""
+
+    def __init__(self, engine: str, message: str):
+        super().__init__(f"{engine}: {message}")
+        self.engine = engine
 
 
 class MissingDependencyError(LeafgradeError):
-    pass
+    """A plug-in needs something that is not installed."""
 
 
 class EnvironmentProblems(LeafgradeError):
@@ -44,39 +40,30 @@ class EnvironmentProblems(LeafgradeError):
         self.problems = problems
 
 
-@dataclass
-class FirstEngineConfig:
-    langs: str = "eng,fra,ell,lat"
-    jobs: int = 4
-    timeout: float = 600.0
-    skip_big: float = 100.0
-
-
-@dataclass
-class SecondEngineConfig:
-    langs: str = "en,fr,el,la"
-    force: bool = False
-    batch_size: int = 50
-
-
 @dataclass
 class RunConfig:
     input_dir: str
     output_dir: str
     quality_threshold: float = 0.85
+    #: The first engine reads every file again, not only those with a flagged page.
     force_first: bool = False
+    #: The second engine reads every page.
     force_second: bool = False
     max_samples: int = 20
     languages: list[str] = field(default_factory=list)
+    #: Files that the first engine reads at a time.
     max_workers: int = 4
     files: list[str] = field(default_factory=list)
+    pattern: str = "*.txt"
     recursive: bool = False
     memory_gb: float = 16.0
     device: str = "cpu"
+    #: An engine that fails on its device fails the batch, instead of going on without that device.
+    strict_device: bool = False
     extract_text: bool = False
+    copy_sources: bool = False
     diagnostics: bool = False
     keep_intermediates: bool = False
-    strict_device: bool = False
 
     def quality(self) -> QualityConfig:
         if not 0 <= self.quality_threshold <= 1:

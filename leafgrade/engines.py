@@ -6,16 +6,23 @@ broken file costs that file alone. Real recognisers plug in here; none is part o
 
 from __future__ import annotations
 
+import hashlib
 import time
+import traceback
 from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXTRACTED = "path string, filename string, page_number long, text string, words array<struct<text:string,conf:int>>, error string"
-RECOGNISED = "sub_batch long, idx_in_batch long, new_text string, error string, seconds double"
+from .config import EngineError
+from .functions.transforms import last_lines
+from .models import shelf
+
+EXTRACTED = "path string, filename string, page_number long, text string, words array<struct<text:string,conf:int>>, error string, seconds double"
+RECOGNISED = "sub_batch long, idx_in_batch long, new_text string, error string, seconds double, load_seconds double"
 
 
 class PageReader(Protocol):
@@ -36,57 +43,66 @@ def form_feed_reader(content: bytes) -> list[tuple[str, list[tuple[str, int]] |
 
 
 def read_pages(files: DataFrame, reader: PageReader) -> DataFrame:
-    """Page rows of files (path, content). A file that can't be read is one row with an error and no page."""
+    """Page rows of files (path, content). A file that can't be read is one row with an error and no page.
+
+    `error` holds the last lines of what was raised; `seconds` is the file's time, on its first row.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
+                name, began = path.rsplit("/", 1)[-1], time.perf_counter()
                 try:
                     pages = reader(content)
-                    rows += [(path, name, i, t, w, None) for i, (t, w) in enumerate(pages)]
-                except Exception as e:  # noqa: BLE001 - the error is the result
-                    rows.append((path, name, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "filename", "page_number", "text", "words", "error"]).astype({"page_number": "Int64"})
+                    spent = time.perf_counter() - began
+                    rows += [(path, name, i, t, w, None, 0.0 if i else spent) for i, (t, w) in enumerate(pages)]
+                    if not pages:
+                        rows.append((path, name, None, None, None, None, spent))
+                except Exception:  # noqa: BLE001 - the error is the result
+                    rows.append((path, name, None, None, None, traceback.format_exc(), time.perf_counter() - began))
+            yield pd.DataFrame(rows, columns=["path", "filename", "page_number", "text", "words", "error", "seconds"]).astype({"page_number": "Int64"})
 
-    return files.select("path", "content").mapInPandas(run, EXTRACTED)
+    return files.select("path", "content").mapInPandas(run, EXTRACTED).withColumn("error", last_lines(F.rtrim("error")))
 
 
-def with_fallback(engine: PageEngine, second: PageEngine | None, strict: bool = False) -> PageEngine:
-    """On RuntimeError the second engine (the same on another device) is tried; strict raises instead."""
+def with_fallback(engine: PageEngine, second: PageEngine | None, strict: bool = False, name: str = "engine") -> PageEngine:
+    """On RuntimeError the second engine (the same on another device) is tried; strict raises EngineError instead."""
 
     def run(pages: list[str]) -> list[str]:
         try:
             return engine(pages)
-        except RuntimeError:
+        except RuntimeError as e:
             if strict or second is None:
-                raise
+                raise EngineError(name, str(e)) from e
             return second(pages)
 
     return run
 
 
-def recognise(batches: DataFrame, make: Callable[[], PageEngine]) -> DataFrame:
+def recognise(batches: DataFrame, make: Callable[[], PageEngine], name: str = "second") -> DataFrame:
     """Texts of batched pages (sub_batch, idx_in_batch, text): a group is a batch, sized by the caller.
 
-    `make` builds the engine once in each Python worker. A batch that fails keeps its old texts (new_text
-    null) and carries the error.
+    `make` builds the engine once in each Python worker, which keeps it for a limited time. A batch that
+    fails keeps its old texts (new_text null) and carries the error. `seconds` and `load_seconds` are the
+    batch's, on its first row.
     """
-    held: dict[str, PageEngine] = {}
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        began = time.perf_counter()
         batch = batch.sort_values("idx_in_batch")
+        loaded, began = 0.0, time.perf_counter()
         try:
-            if "engine" not in held:
-                held["engine"] = make()
-            texts = held["engine"](batch["text"].tolist())
+            engine, loaded = shelf().get(own, make)
+            began = time.perf_counter()
+            texts = engine(batch["text"].tolist())
             if len(texts) != len(batch):
-                raise ValueError(f"{len(texts)} texts for {len(batch)} pages")
+                raise EngineError(name, f"{len(texts)} texts for {len(batch)} pages")
             error = None
         except Exception as e:  # noqa: BLE001 - the error is the result
             texts, error = [None] * len(batch), f"{type(e).__name__}: {e}"
-        return pd.DataFrame({"sub_batch": batch["sub_batch"], "idx_in_batch": batch["idx_in_batch"], "new_text": texts, "error": error, "seconds": time.perf_counter() - began})
+        spent = time.perf_counter() - began
+        first = [1.0] + [0.0] * (len(batch) - 1)
+        return pd.DataFrame({"sub_batch": batch["sub_batch"], "idx_in_batch": batch["idx_in_batch"], "new_text": texts, "error": error, "seconds": [spent * x for x in first], "load_seconds": [loaded * x for x in first]})
 
+    own = f"{name}-{hashlib.sha1(CloudPickleSerializer().dumps(make)).hexdigest()}"  # what a worker keeps it by
     return batches.select("sub_batch", "idx_in_batch", F.coalesce("text", F.lit("")).alias("text")).groupBy("sub_batch").applyInPandas(run, RECOGNISED)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from leafgrade import pipeline, sources
 from leafgrade.cli import main
-from leafgrade.config import ConfigurationError, RunConfig, worker_sizes
+from leafgrade.config import ConfigurationError, EngineError, RunConfig, worker_sizes
 from leafgrade.engines import read_pages, with_fallback
 from leafgrade.operators import batching
-from leafgrade.plans import queries
+from leafgrade.plans import queries, runs  # noqa: F401 - runs registers its queries
 
 GOOD = "This page has plain words and nothing else that could look strange to a reader of books. " * 3
 BAD = "xkjhgfdq bcdfghjkl qwrtpsdfg zxcvbnmk fghjklmn " * 10
@@ -66,7 +66,7 @@ def test_command_line(spark, folder, capsys):
 def test_fallback():
     broken = failing_engine()
     assert with_fallback(broken, lambda p: ["x"] * len(p))(["a"]) == ["x"]
-    with pytest.raises(RuntimeError):
+    with pytest.raises(EngineError):
         with_fallback(broken, lambda p: p, strict=True)(["a"])
 
 
@@ -123,7 +123,7 @@ def test_query_against_duckdb(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "events"):
+    for t in ("documents", "labels", "events", "lineitem"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = queries.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
