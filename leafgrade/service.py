@@ -58,6 +58,10 @@ def rotating_log(path: str, size: int = 10 << 20, files: int = 3) -> logging.Log
     return log
 
 
+def _only(reader: PageReader, first: int, last: int) -> PageReader:
+    return lambda content: reader(content)[first : last + 1]
+
+
 class Service:
     """`with Service(...) as s:` loads models first if asked, and gives them up at the end."""
 
@@ -84,7 +88,7 @@ class Service:
             if found.count() != 1:
                 raise LeafgradeError("a page range is for a run of one file")
             first, last = parse_page_range(page_range, len(reader(bytes(found.first().content))))
-            reader = lambda content: self.reader(content)[first : last + 1]
+            reader = _only(reader, first, last)
         files, _ = run(self.spark, config, self.vocab, reader, self.make_engine, self.first_engine, receivers)
         if output_name is not None:
             files = sinks.named_output(files, output_name)
