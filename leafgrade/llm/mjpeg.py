@@ -10,11 +10,14 @@ Reading goes by the index. Frames are Huffman-decoded side by side in numpy, one
 tables of the standard (as motion JPEG without DHT segments has them) or those of the file; pixels come
 from an exact integer inverse transform. A shot begins where the difference of neighbouring frames'
 grey histograms exceeds the mean of the shot's earlier differences by `sensitivity` of their mean
-absolute deviations (adaptive: a busy shot needs a larger jump). Clips are rows with times.
-
-Defined cases: null and empty texts are one frame of padding; broken or foreign files (not one-component
-baseline, missing index) raise ValueError in read_avi and become rows with `error` in clips(); equal
-texts have equal files; other columns are ignored.
+absolute deviations (adaptive: a busy shot needs a larger jump). Clips are rows with times. Colour frames
+(components in one scan, with any sampling that leaves the first whole, and restart intervals) are read too;
+their first component, brightness, makes the histograms.
+
+Defined cases: null and empty texts are one frame of padding; broken or foreign files (progressive frames,
+several scans, missing index) raise ValueError and become rows with `error` in clips(); equal texts have
+equal files and repeated rows equal results; an empty table gives no row; a very long text is one file,
+written and read in a step of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,14 @@ AC_SYMBOLS = list(bytes.fromhex(
     "434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9"
     "aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
 ))
+DC_BITS_CHROMA = (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0)
+DC_SYMBOLS_CHROMA = tuple(DC_SYMBOLS)
+AC_BITS_CHROMA = (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119)
+AC_SYMBOLS_CHROMA = tuple(bytes.fromhex(
+    "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a"
+    "434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8"
+    "a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+))
 
 
 def _zigzag() -> np.ndarray:
@@ -192,39 +204,92 @@ def parse_riff(data: bytes) -> dict:
     return found
 
 
-def _parse_jpeg(data: bytes) -> tuple[int, int, bytes, tuple, tuple, bytes]:
-    """Height, width, quantisation table, DC and AC tables (bits, symbols; empty for the standard's) and scan of a frame."""
+class _Layout(NamedTuple):
+    """What frames that are decoded together share: size, blocks of a unit by component, tables, units between restarts."""
+
+    height: int
+    width: int
+    #: (columns, rows) of blocks that a unit holds of each component.
+    sampling: tuple[tuple[int, int], ...]
+    quant: bytes
+    #: For each component its DC and AC table as (bits, symbols), empty for the standard's.
+    tables: tuple[tuple[tuple, tuple], ...]
+    restart: int
+
+
+_OWN = _Layout(SIDE, SIDE, ((1, 1),), b"\x01" * 64, (((), ()),), 0)
+
+
+def _parse_jpeg(data: bytes) -> tuple[_Layout, bytes]:
+    """Layout and scan of a baseline frame of one component, or of several in one scan."""
     if data.startswith(_HEAD):
-        return SIDE, SIDE, b"\x01" * 64, (), (), data[len(_HEAD) : -2]
-    at, quant, dc, ac, shape = 2, b"", (), (), None
+        return _OWN, data[len(_HEAD) : -2]
+    at, restart, shape, components = 2, 0, None, []
+    quant: dict[int, bytes] = {}
+    huffman: dict[int, tuple] = {}
     while at + 4 <= len(data):
         if data[at] != 0xFF:
             raise ValueError("a marker is missing")
         marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
         if marker == 0xDB:
-            quant = body[1:65]
+            while body:
+                if body[0] >> 4:
+                    raise ValueError("only quantisation tables of 8 bits are read")
+                quant[body[0]] = body[1:65]
+                body = body[65:]
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                table = (tuple(body[1:17]), tuple(body[17 : 17 + n]))
-                dc, ac = (dc, table) if body[0] >> 4 else (table, ac)
+                huffman[body[0]] = (tuple(body[1:17]), tuple(body[17 : 17 + n]))
                 body = body[17 + n :]
+        elif marker == 0xDD:
+            restart = int.from_bytes(body[:2], "big")
         elif marker == 0xC0:
             shape = struct.unpack(">BHHB", body[:6])
+            components = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(shape[3])]
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("only baseline frames are decoded")
         elif marker == 0xDA:
-            if shape is None or shape[3] != 1 or len(quant) != 64:
-                raise ValueError("only frames of one 8-bit component are decoded")
+            if shape is None or shape[0] != 8 or body[0] != len(components) or [c[0] for c in components] != list(body[1 : 1 + 2 * len(components) : 2]):
+                raise ValueError("only frames of 8 bits whose components are all in one scan are decoded")
+            which = body[2 : 2 + 2 * len(components) : 2]
+            tables = tuple((huffman.get(t >> 4, ()), huffman.get(16 + (t & 15), ())) for t in which)
+            if huffman and not all(t for pair in tables for t in pair):
+                raise ValueError("a table is missing")
+            if not huffman and len(components) > 1:
+                tables = (((), ()), *[((DC_BITS_CHROMA, DC_SYMBOLS_CHROMA), (AC_BITS_CHROMA, AC_SYMBOLS_CHROMA))] * (len(components) - 1))
+            # A scan of one component has one block a unit, whatever its sampling says.
+            sampling = tuple((c[1], c[2]) for c in components) if len(components) > 1 else ((1, 1),)
+            if sampling[0] != tuple(map(max, zip(*sampling, strict=True))) or len(quant.get(components[0][3], b"")) != 64:
+                raise ValueError("the first component has not the full size, or no quantisation table")
             end = data.rfind(b"\xff\xd9")
-            return shape[1], shape[2], quant, dc, ac, data[at + 2 + size : end if end > 0 else len(data)]
+            layout = _Layout(shape[1], shape[2], sampling, quant[components[0][3]], tables, restart)
+            return layout, data[at + 2 + size : end if end > 0 else len(data)]
         at += 2 + size
     raise ValueError("no scan in a frame")
 
 
-def _coefficients(scans: list[bytes], blocks: int, dc: tuple, ac: tuple) -> np.ndarray:
-    """Coefficients (frames, blocks, 64) in zigzag order; frames are lanes that advance together."""
+def _intervals(scan: bytes, units: int, restart: int) -> list[tuple[bytes, int]]:
+    """The parts of a scan between restart markers, each with its number of units."""
+    if not restart:
+        return [(scan, units)]
+    parts, at = [], 0
+    for k in range(-(-units // restart)):
+        end = scan.find(bytes([0xFF, 0xD0 + k % 8]), at)
+        last = k == -(-units // restart) - 1
+        if end < 0 and not last:
+            raise ValueError("a restart marker is missing")
+        parts.append((scan[at : len(scan) if last else end], min(restart, units - k * restart)))
+        at = end + 2
+    return parts
+
+
+def _coefficients(scans: list[bytes], blocks: np.ndarray, tables: tuple = (((), ()),), pattern: tuple[int, ...] = (0,)) -> np.ndarray:
+    """Coefficients (scans, most blocks, 64) in zigzag order; scans are lanes that advance together.
+
+    pattern names the component of each block of a unit; each component has its own tables and predictor.
+    """
     n = len(scans)
     size = np.array([len(s) for s in scans], np.int64)
     raw = np.frombuffer(b"".join([*scans, b"\xff\xff" * 8]), np.uint8)
@@ -237,13 +302,20 @@ def _coefficients(scans: list[bytes], blocks: int, dc: tuple, ac: tuple) -> np.n
     window = np.zeros(m, np.uint64)
     for j in range(8):
         window = (window << np.uint64(8)) | data[j : j + m]
-    look = np.concatenate([_codes(*map(list, dc))[2] if dc else _DC[2], _codes(*map(list, ac))[2] if ac else _AC[2]])
-    out = np.zeros((n, blocks * 64), np.int32)
+    look = np.concatenate([x for dc, ac in tables for x in (_codes(*map(list, dc))[2] if dc else _DC[2], _codes(*map(list, ac))[2] if ac else _AC[2])])
+    several, unit = len(pattern) > 1, np.array(pattern)
+    most = int(blocks.max())
+    out = np.zeros((n, most * 64), np.int32)
     lane = np.arange(n)
-    bit, limit, k, block, last = 8 * begin[:-1], 8 * begin[1:], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    bit, limit, k, block, last = 8 * begin[:-1], 8 * begin[1:], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, len(tables)), np.int64)
+    own = np.zeros(n, np.int64)
     while len(lane):
         w = window[np.minimum(bit >> 3, m - 1)] << (bit & 7).astype(np.uint64)
-        entry = look[(w >> np.uint64(48)).astype(np.int64) + ((k > 0) << 16)]
+        table = k > 0
+        if several:
+            own = unit[block % len(unit)]
+            table = table + 2 * own
+        entry = look[(w >> np.uint64(48)).astype(np.int64) + (table << 16)]
         length, symbol = (entry >> 8).astype(np.int64), (entry & 255).astype(np.int64)
         run = np.where(k > 0, symbol >> 4, 0)
         bits = symbol & 15
@@ -253,9 +325,11 @@ def _coefficients(scans: list[bytes], blocks: int, dc: tuple, ac: tuple) -> np.n
             raise ValueError("a frame's code is broken")
         bit = bit + length + bits
         first = k == 0
-        last = np.where(first, last + v, last)
+        before = last[np.arange(len(lane)), own]
+        now = np.where(first, before + v, before)
+        last[np.arange(len(lane)), own] = now
         k = k + run
-        value = np.where(first, last, v)
+        value = np.where(first, now, v)
         ok = (bits > 0) | first
         if (k > 63).any():
             raise ValueError("a frame's run leaves its block")
@@ -264,10 +338,10 @@ def _coefficients(scans: list[bytes], blocks: int, dc: tuple, ac: tuple) -> np.n
         over = k >= 64
         block = block + over
         k[over] = 0
-        if (block >= blocks).any():
-            go = block < blocks
-            lane, bit, limit, k, block, last = (x[go] for x in (lane, bit, limit, k, block, last))
-    return out.reshape(n, blocks, 64)
+        go = block < blocks[lane]
+        if not go.all():
+            lane, bit, limit, k, block, last, own = (x[go] for x in (lane, bit, limit, k, block, last, own))
+    return out.reshape(n, most, 64)
 
 
 def _basis() -> np.ndarray:
@@ -280,8 +354,8 @@ def _basis() -> np.ndarray:
 _BASIS = _basis()
 
 
-def pixels(coefficients: np.ndarray, quant: bytes, height: int, width: int) -> np.ndarray:
-    """Frames (n, height, width) of grey values."""
+def pixels(coefficients: np.ndarray, quant: bytes, height: int, width: int, across: int | None = None) -> np.ndarray:
+    """Frames (n, height, width) of grey values, from blocks in rows of `across`."""
     n, blocks, _ = coefficients.shape
     grid = np.zeros((n, blocks, 64))
     grid[:, :, ZIGZAG] = coefficients * np.frombuffer(quant, np.uint8).astype(np.float64)
@@ -289,18 +363,30 @@ def pixels(coefficients: np.ndarray, quant: bytes, height: int, width: int) -> n
     cols = (grid.reshape(-1, 8) @ _BASIS).reshape(-1, 8, 8)
     full = (cols.transpose(0, 2, 1).reshape(-1, 8) @ _BASIS).reshape(-1, 8, 8).transpose(0, 2, 1)
     grey = np.clip(np.floor(full / (4096.0 * 4096.0) + 128.5), 0, 255).astype(np.uint8)
-    across = -(-width // 8)
+    across = across or -(-width // 8)
     return grey.reshape(n, blocks // across, across, 8, 8).transpose(0, 1, 3, 2, 4).reshape(n, -1, across * 8)[:, :height, :width]
 
 
 def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients in zigzag order and grey pixels of frames of one shape and one set of tables."""
+    """Coefficients in zigzag order and grey pixels of frames of one layout; of colour frames those of the first component (brightness)."""
     parsed = [_parse_jpeg(f) for f in frames]
-    if len({p[:5] for p in parsed}) > 1:
+    if len({layout for layout, _ in parsed}) > 1:
         raise ValueError("frames of different shapes or tables in one call")
-    height, width, quant, dc, ac, _ = parsed[0]
-    c = _coefficients([p[5] for p in parsed], -(-height // 8) * -(-width // 8), dc, ac)
-    return c, pixels(c, quant, height, width)
+    x = parsed[0][0]
+    h, v = x.sampling[0]
+    across, down = -(-x.width // (8 * h)), -(-x.height // (8 * v))
+    pattern = tuple(i for i, (a, b) in enumerate(x.sampling) for _ in range(a * b))
+    parts = [p for _, scan in parsed for p in _intervals(scan, across * down, x.restart)]
+    blocks = np.array([u for _, u in parts], np.int64) * len(pattern)
+    c = _coefficients([s for s, _ in parts], blocks, x.tables, pattern)
+    if x.restart:  # intervals of a frame one after the other; the last may be short
+        each = len(parts) // len(frames)
+        c = c.reshape(len(frames), each * c.shape[1], 64)[:, : across * down * len(pattern)]
+    if h * v > 1 or len(pattern) > 1:
+        # Units in rows; inside a unit the first component's blocks in rows.
+        c = c.reshape(len(frames), down, across, len(pattern), 64)[:, :, :, : h * v].reshape(len(frames), down, across, v, h, 64)
+        c = c.transpose(0, 1, 3, 2, 4, 5).reshape(len(frames), -1, 64)
+    return c, pixels(c, x.quant, x.height, x.width, across * h)
 
 
 def shots(grey: np.ndarray, sensitivity: float = 3.0) -> list[int]:
