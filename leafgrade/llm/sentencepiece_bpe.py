@@ -193,11 +193,12 @@ class PieceModel:
                 self.corrected += 1
             self.cache[c] = (np.array(got, np.uint32).tobytes(), " ".join(map(str, got)).encode())
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
-        """Ids with the end id, and the same as decimal numbers joined by spaces, for each text."""
-        if len(self.cache) > 100_000:  # words keep what they need
+    def encode(self, texts: list[str], cached: int = 0) -> list[tuple[np.ndarray, bytes]]:
+        """Ids with the end id, and the same as decimal numbers joined by spaces, for each text; `cached` words are kept about."""
+        cached = cached or CACHE_CHUNKS
+        if len(self.cache) > cached // 5:  # words keep what they need
             self.cache.clear()
-        if len(self.pieces_of) > CACHE_CHUNKS:
+        if len(self.pieces_of) > cached:
             self.pieces_of.clear()
         words, at = [], [0]
         for t in texts:
@@ -244,8 +245,11 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
-    """Columns `keep`, n_tokens, ids_sha256, decoded_sha256, n_corrected[, ids, decoded] for every row."""
+def encode_pieces(docs: DataFrame, model_path: str, keep: list[str] | None = None, with_ids: bool = False, cached: int = 0) -> DataFrame:
+    """Columns `keep`, n_tokens, ids_sha256, decoded_sha256, n_corrected[, ids, decoded] for every row.
+
+    `cached` bounds the words that a worker remembers (0: CACHE_CHUNKS); fewer take less memory and more time.
+    """
     keep = keep or ["doc_id"]
     bound_batches(docs.sparkSession)
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
@@ -255,7 +259,7 @@ def encode_pieces(docs: DataFrame, model_path: str, keep: list[str] | None = Non
         for part, _, _ in text_batches(batches, cache="pieces"):
             texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
             before = m.corrected
-            coded = m.encode(texts)
+            coded = m.encode(texts, cached)
             decoded = [m.library.decode(i.tolist()) for i, _ in coded]
             sha = lambda x: hashlib.sha256(x).hexdigest()
             cols = [part.column(part.schema.get_field_index(c)) for c in keep]
@@ -276,4 +280,4 @@ def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected")
