@@ -55,4 +55,32 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = r THEN NULL ELSE r END AS refers_to FROM m
 """
 
-ORACLE_SQL = {"op8_warc": _OP8_SQL, "op7_decontaminate": _OP7_SQL}
+#: Sets as distinct rows, an equality join that counts common shingles, and reach along links.
+_OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 80 * (na.n + nb.n - m)
+), r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON r.doc_id = l.a
+), c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id
+), k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM documents LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+#: Every 400-byte string of the hexadecimal text by its digest; starts that lie near make spans.
+_OP10_SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), s AS (SELECT doc_id, i, md5(substr(x, CAST(2 * i + 1 AS INT), 800)) AS h FROM (SELECT doc_id, x, unnest(range(n - 399)) AS i FROM t WHERE n >= 400)
+), c AS (SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)
+), g AS (SELECT doc_id, i, sum(CASE WHEN i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c)
+), e AS (SELECT doc_id, min(i) AS b, max(i) + 400 AS e FROM g GROUP BY doc_id, span
+), k AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM e
+), m AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, string_agg(substr(x, CAST(2 * a + 1 AS INT), CAST(2 * (b - a) AS INT)), '' ORDER BY b) AS kept, max(e) AS last FROM k JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept || substr(x, CAST(2 * last + 1 AS INT)), x))) AS kept_sha256 FROM t LEFT JOIN m USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_jaccard": _OP4_SQL, "op7_decontaminate": _OP7_SQL, "op8_warc": _OP8_SQL, "op10_suffix_dedup": _OP10_SQL}
