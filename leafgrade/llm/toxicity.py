@@ -3,7 +3,8 @@
 A sentence's logit is a bias plus the weights of its distinct features (hashes of its words and of
 their first 3 to 6 bytes); a document's score is the noisy-or of its sentences' probabilities.
 Training maximises the likelihood of document labels through the noisy-or (AdaGrad in numpy, with
-an L1 shrink), so the sentences that explain a label are located without sentence labels.
+an L1 shrink), so the sentences that explain a label are located without sentence labels. Scores are
+then shifted so that THRESHOLD is the best place between the classes on documents held back for that.
 
 Defined cases: null, empty and word-free texts have no sentence and score 0.0; without a labelled
 row of each class every score is 0.0; repeated rows score alike; of a doc_id's several labels the largest
@@ -38,6 +39,8 @@ class ToxicityConfig:
     rate: float = 0.3
     shrink: float = 2e-5
     bias: float = -7.0
+    #: Share of the sample that the scores' shift is found on.
+    held_back: float = 0.25
     seed: int = 7
 
 
@@ -71,14 +74,11 @@ def _distinct(bucket: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndar
 
 
 def train(texts: list[str | None] | pa.ChunkedArray, labels: np.ndarray, config: ToxicityConfig) -> np.ndarray:
-    """Weights of length 2**bits + 1, the last the bias. All zero but the bias when one class is missing."""
+    """Weights of length 2**bits + 2: the buckets', the bias and the shift of scores. -inf is the bias when one class is missing."""
     size = 1 << config.bits
-    weight = np.zeros(size + 1)
-    weight[size] = config.bias
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
-        weight[size] = -np.inf
-        return weight.astype(np.float32)
+        return np.append(np.zeros(size), [-np.inf, 0]).astype(np.float32)
     buf, off = text_buffer(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.large_string()))
 
     def each():
@@ -99,11 +99,45 @@ def train(texts: list[str | None] | pa.ChunkedArray, labels: np.ndarray, config:
         names, number = np.unique(s, return_inverse=True)
         docs.append((b[kept[b]].astype(np.int32), number[kept[b]].astype(np.int32), len(names)))
     del buf, off
-    pull = np.where(y > 0, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (len(y) - y.sum()))
     rng = np.random.default_rng(config.seed)
+    every = np.arange(len(docs))
+    back = rng.random(len(docs)) < config.held_back
+    shift = 0.0
+    if min(y[back].sum(), y[~back].sum()) > 0 and min((1 - y[back]).sum(), (1 - y[~back]).sum()) > 0:
+        shift = _shift(_noisy_or([docs[d] for d in every[back]], _learn(docs, y, every[~back], config, rng)), y[back])
+    return np.append(_learn(docs, y, every, config, rng), shift).astype(np.float32)
+
+
+def _noisy_or(docs: list, weight: np.ndarray) -> np.ndarray:
+    """Document scores of (bucket, sentence, number of sentences)."""
+    out = []
+    for b, s, n in docs:
+        z = np.bincount(s, weight[b], n) + weight[-1]
+        out.append(-np.expm1(np.log1p(-np.minimum(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 - 1e-12)).sum()))
+    return np.array(out)
+
+
+def _shift(scores: np.ndarray, y: np.ndarray) -> float:
+    """What to add to a score's logit so that THRESHOLD is where held-back documents are told apart best (by F1).
+
+    Training pulls weakly on documents with little evidence, so the place lies below THRESHOLD, if anywhere.
+    """
+    places = np.linspace(0.2, THRESHOLD, 26)
+    f1 = [2 * (y * (scores >= t)).sum() / (y.sum() + (scores >= t).sum()) for t in places]
+    best = float(places[np.isclose(f1, max(f1))].max())
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(best / (1 - best)))
+
+
+def _learn(docs: list, y: np.ndarray, rows: np.ndarray, config: ToxicityConfig, rng: np.random.Generator) -> np.ndarray:
+    """Weights of length 2**bits + 1, the last the bias, from some of the documents."""
+    size = 1 << config.bits
+    weight = np.zeros(size + 1)
+    weight[size] = config.bias
+    toxic = y[rows].sum()
+    pull = np.where(y > 0, 0.5 * len(rows) / toxic, 0.5 * len(rows) / (len(rows) - toxic))
     past = np.full(size + 1, 1e-2)
     for _ in range(config.epochs):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(rows)
         for at in range(0, len(order), config.batch_docs):
             some = order[at : at + config.batch_docs]
             counts = np.array([docs[d][2] for d in some])
@@ -126,21 +160,25 @@ def train(texts: list[str | None] | pa.ChunkedArray, labels: np.ndarray, config:
             moved = weight[at_all] - step
             moved[:-1] = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - config.shrink * len(some), 0)
             weight[at_all] = moved
-    return weight.astype(np.float32)
+    return weight
 
 
 def score_rows(buf: np.ndarray, off: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Document scores, sentence scores and the sentences' (row, first byte, last byte)."""
     bits = int(len(weight) - 1).bit_length() - 1
+    bias, shift = float(weight[1 << bits]), float(weight[-1])
     n = len(off) - 1
     b, s, row, begin, end = features(buf, off, bits)
     w = weight[b]
     used = w != 0
     b, s = _distinct(b[used], s[used], bits)
-    z = np.bincount(s, weight[b], len(row)) + float(weight[-1])
+    z = np.bincount(s, weight[b], len(row)) + bias
     q = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 30))))
     doc = -np.expm1(np.bincount(row, np.log1p(-np.minimum(q, 1 - 1e-12)), n))
-    return np.clip(doc, 0, 1), q, (row, begin, end)
+    # The logit shifted: odds times a factor, so 0 and 1 stay what they are.
+    doc = np.clip(doc, 0, 1)
+    up = np.exp(shift)
+    return doc * up / (1 - doc + doc * up), q, (row, begin, end)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, config: ToxicityConfig | None = None) -> np.ndarray:
@@ -167,7 +205,7 @@ def score(docs: DataFrame, weight: np.ndarray, keep: list[str] | None = None, se
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(weight)  # fixed size: 2**bits + 1 floats
+    shared = spark.sparkContext.broadcast(weight)  # fixed size: 2**bits + 2 floats
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
     kind = pa.list_(pa.struct([("text", pa.string()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
 
