@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import EngineError
+from .events import worker_log
 from .functions.transforms import last_lines
 from .models import shelf
 
@@ -59,7 +60,8 @@ def read_pages(files: DataFrame, reader: PageReader) -> DataFrame:
                     rows += [(path, name, i, t, w, None, 0.0 if i else spent) for i, (t, w) in enumerate(pages)]
                     if not pages:
                         rows.append((path, name, None, None, None, None, spent))
-                except Exception:  # noqa: BLE001 - the error is the result
+                except Exception as e:  # noqa: BLE001 - the error is the result
+                    worker_log().warning("%s can't be read: %s", path, e)
                     rows.append((path, name, None, None, None, traceback.format_exc(), time.perf_counter() - began))
             yield pd.DataFrame(rows, columns=["path", "filename", "page_number", "text", "words", "error", "seconds"]).astype({"page_number": "Int64"})
 
@@ -100,6 +102,7 @@ def recognise(batches: DataFrame, make: Callable[[], PageEngine], name: str = "s
             error = None
         except Exception as e:  # noqa: BLE001 - the error is the result
             texts, error = [None] * len(batch), f"{type(e).__name__}: {e}"
+            worker_log().warning("batch %s keeps its texts: %s", batch["sub_batch"].iloc[0], error)
         spent = time.perf_counter() - began
         first = [1.0] + [0.0] * (len(batch) - 1)
         return pd.DataFrame({"sub_batch": batch["sub_batch"], "idx_in_batch": batch["idx_in_batch"], "new_text": texts, "error": error, "seconds": [spent * x for x in first], "load_seconds": [loaded * x for x in first]})

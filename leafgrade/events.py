@@ -42,3 +42,17 @@ class Teller:
                 receive(event)
             except Exception:
                 logging.getLogger("leafgrade").exception("a receiver failed on: %s", event)
+
+
+def worker_log(name: str = "leafgrade.worker") -> logging.Logger:
+    """A log for code in Python workers: lines name stage, partition and attempt, and go to the executor's own log."""
+    from pyspark import TaskContext
+
+    log = logging.getLogger(name)
+    if not log.handlers:
+        log.addHandler(logging.StreamHandler())
+        log.propagate = False
+    context = TaskContext.get()
+    where = f"stage {context.stageId()} partition {context.partitionId()} attempt {context.attemptNumber()}" if context else "driver"
+    log.handlers[0].setFormatter(logging.Formatter(f"%(asctime)s %(levelname)s {where}: %(message)s"))
+    return log

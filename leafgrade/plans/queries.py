@@ -243,9 +243,10 @@ def file_engine(spark, d):
     return rows.select("id", rollups.file_engine(F.col("e")).alias("engine"))
 
 
-@query(f"WITH {O.QUALITY}, {_FILES} SELECT count(*) AS n_files, count(*) FILTER (page_count > 0) AS success_count, count(*) FILTER (page_count = 0) AS error_count, count(*) FILTER (flagged_pages > 0) AS flagged_count, CAST(sum(flagged_pages) AS BIGINT) AS total_flagged_pages FROM fl")
+@query(f"WITH {O.QUALITY}, {_FILES} SELECT count(*) AS n_files, count(*) FILTER (page_count % 3 > 0) AS success_count, count(*) FILTER (page_count % 3 = 0) AS error_count, count(*) FILTER (flagged_pages > 0) AS flagged_count, CAST(sum(flagged_pages) AS BIGINT) AS total_flagged_pages FROM fl")
 def batch_summary(spark, d):
-    return rollups.batch_summary(rollups.file_rollup(_engine(quality(spark, d))).withColumn("success", F.col("page_count") > 0))
+    """Files of a number of pages that three divides count as failed."""
+    return rollups.batch_summary(rollups.file_rollup(_engine(quality(spark, d))).withColumn("success", F.col("page_count") % 3 > 0))
 
 
 @query(f"WITH {O.STRUGGLE}, base AS (SELECT filename, count(*) AS total_pages, count(*) FILTER (flagged) AS flagged_pages, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, count(*) FILTER (magnitude > 0.3) AS disagreements FROM dg GROUP BY filename), c AS (SELECT filename, category, count(*) AS n FROM (SELECT filename, unnest(struggle) AS category FROM dg) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY n DESC, category) AS k FROM c) SELECT base.*, round(100.0 * flagged_pages / total_pages, 2) AS flagged_pct, (SELECT string_agg(category, ',' ORDER BY k) FROM r WHERE r.filename = base.filename AND k <= 3) AS dominant FROM base")

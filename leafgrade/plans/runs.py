@@ -14,7 +14,7 @@ from ..engines import form_feed_reader, read_pages
 from ..functions import transforms as X
 from ..images import image_quality as measured
 from ..images import mean_dpi, skew_of_lines
-from ..operators import coverage, rollups, signals
+from ..operators import batching, coverage, rollups, signals
 from ..scratch import scratch, stored
 from . import oracle as O
 from .queries import KEY, ORACLE_SQL, _dictionary, _vocab, diagnosed, quality, query
@@ -227,6 +227,24 @@ def stored_diagnostics(spark, d):
     return found.select("id", F.col("page_number").cast("long").alias("page_number"), "quality_score", "flagged").unionByName(without.select("id"), allowMissingColumns=True)
 
 
+@query(f"WITH {O.QUALITY} SELECT filename, page_number, CASE WHEN filename <> 'src3' THEN 'in/' || filename || '.txt' END AS input_path FROM q WHERE flagged")
+def flagged_paths(spark, d):
+    """Flagged pages with the path of their file; those of one file that is not there have none."""
+    q = quality(spark, d)
+    files = q.select("filename").distinct().where("filename <> 'src3'").withColumn("path", F.concat(F.lit("in/"), "filename", F.lit(".txt")))
+    found, without = batching.with_paths(signals.bad_pages(q, KEY), files)
+    return found.select(*KEY, "input_path").unionByName(without.select(*KEY), allowMissingColumns=True)
+
+
+@query(f"WITH {O.PAGES}, g AS (SELECT filename, list(page_number ORDER BY page_number) FILTER (doc_id % 7 = 0 AND filename <> 'src2') AS l FROM pages_ GROUP BY filename) SELECT filename AS id, coalesce(array_to_string(l, ','), '') AS pages FROM g")
+def ground_truth(spark, d):
+    """Pages of each document that have a ground truth in its record (one document has no such map)."""
+    pages = sources.document_pages(spark, d)
+    entry = F.when((F.col("doc_id") % 7 == 0) & (F.col("filename") != "src2"), F.struct(F.col("page_number").cast("string").alias("k"), F.col("doc_id").cast("string").alias("v")))
+    docs = pages.groupBy(F.col("filename").alias("id")).agg(F.collect_list(entry).alias("e")).select("id", F.when(F.size("e") > 0, F.map_from_entries("e")).alias("ground_truth_pages"))
+    return sources.ground_truth_pages(docs).select("id", F.array_join("pages", ",").alias("pages"))
+
+
 @query("SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM documents) WHERE w <> ''")
 def word_list_read_back(spark, d):
     """A word list file with blank lines, capitals and repeats, made of the words of all documents."""

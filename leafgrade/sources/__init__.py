@@ -117,6 +117,13 @@ def ground_truth_pages(documents: DataFrame) -> DataFrame:
     return documents.select("id", F.coalesce(F.array_sort(keys), F.array().cast("array<int>")).alias("pages"))
 
 
+def wanted_pages(documents: DataFrame, wanted: str, pages: list[int] | None = None) -> DataFrame:
+    """Rows (id, page_number) to draw of one document: the pages named, or all that the manifest selected; LookupError without the document."""
+    found = document_by_id(documents, wanted)
+    numbers = F.lit(pages).cast("array<int>") if pages is not None else F.array_union(F.coalesce("selected_pages.difficult", F.array().cast("array<int>")), F.coalesce("selected_pages.regression", F.array().cast("array<int>")))
+    return found.select("id", F.explode(F.array_sort(F.array_distinct(numbers))).alias("page_number"))
+
+
 def file_text(pages: DataFrame) -> DataFrame:
     """Whole texts by file: pages in order, joined by a line break."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p.text)

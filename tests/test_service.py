@@ -217,6 +217,14 @@ def test_rendered_pages(spark, tmp_path):
     assert {r.name for r in sinks.write_images(drawn, f"file://{tmp_path}/img").collect()} == {"a-page_000.png", "a-page_002.png"}
 
 
+def test_pages_to_draw(spark):
+    docs = spark.createDataFrame([("a", ([3, 1], [1, 9])), ("b", (None, None))], "id string, selected_pages struct<difficult:array<int>,regression:array<int>>")
+    assert [r.page_number for r in sources.wanted_pages(docs, "a").collect()] == [1, 3, 9]
+    assert [r.page_number for r in sources.wanted_pages(docs, "b", [4, 2, 4]).collect()] == [2, 4] and sources.wanted_pages(docs, "b").count() == 0
+    with pytest.raises(LookupError):
+        sources.wanted_pages(docs, "c")
+
+
 def test_places(spark):
     rng = np.random.default_rng(3)
     rows = [("hot" if i % 3 else None if i % 2 else f"g{i % 7}", int(v)) for i, v in enumerate(rng.permutation(500))]
