@@ -101,3 +101,9 @@ STRUGGLES = ["bad_scan", "character_confusion", "vocabulary_miss", "layout_error
 #: Languages: ISO code, first engine's code, second engine's code.
 LANGUAGES = [("en", "eng", "en"), ("fr", "fra", "fr"), ("el", "ell", "el"), ("la", "lat", "la"), ("de", "deu", "de")]
 DEFAULT_LANGUAGES = ["en", "fr", "el", "la", "de"]
+
+# Patterns of the issue types, in the order in which the first match wins (after the share of letters).
+CONSONANT_RUN = "[bcdfghjklmnpqrstvwxz]{6,}"
+SYMBOL_RUN = "[^\\p{L}\\p{M}\\p{N}_\\s.,;:!?'\"\\-–—…*()]{3,}"
+WEIRD_CASE = r"(?:^|[^\p{L}\p{N}_])[A-Z][a-z]+[A-Z][a-z]*(?:$|[^\p{L}\p{N}_])"
+CONTROL_CHARACTER = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"

@@ -34,11 +34,7 @@ def reference_pattern(ignore_case: str = "(?iu:{})") -> str:
     return "^(?:" + "|".join(parts) + ")"
 
 
-#: Issue types in the order in which the first match wins.
-CONSONANTS = "[bcdfghjklmnpqrstvwxz]{6,}"
-SYMBOLS = "[^\\p{L}\\p{M}\\p{N}_\\s.,;:!?'\"\\-–—…*()]{3,}"
-WEIRD_CASE = r"(?:^|[^\p{L}\p{N}_])[A-Z][a-z]+[A-Z][a-z]*(?:$|[^\p{L}\p{N}_])"
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+CONSONANTS, SYMBOLS, WEIRD_CASE, CONTROL = L.CONSONANT_RUN, L.SYMBOL_RUN, L.WEIRD_CASE, L.CONTROL_CHARACTER
 SUFFIXES = "(?:" + "|".join(L.GERMAN_SUFFIXES) + ")$"
 
 
