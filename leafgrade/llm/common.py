@@ -7,8 +7,6 @@ word has the same hash in every batch and on every executor.
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -18,31 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import delete, scratch
+
 #: Bytes of text that one numpy step handles at a time; a longer single text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir.
-
-    Where that is unset, a session in one process (local mode, as in tests) gets a temporary folder; on a
-    cluster it is an error, as executors would not see each other's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='leafgrade-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 #: For each passing_tables block that is open, the scratch tables made in it.
 _passing: list[list[tuple[SparkSession, str]]] = []
 
@@ -58,11 +41,6 @@ def passing_tables() -> Iterator[None]:
             delete(spark, path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def stored(df: DataFrame, name: str, last: bool = False) -> DataFrame:
     """The rows of df as a Parquet table in the shared scratch folder: lineage ends there.
 
@@ -73,7 +51,7 @@ def stored(df: DataFrame, name: str, last: bool = False) -> DataFrame:
     owners = _passing[:-1] if last else _passing
     if owners:
         owners[-1].append((spark, path))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -204,8 +182,28 @@ def starts_of(row: np.ndarray, rows: int) -> np.ndarray:
 caches: dict[str, Callable[[], None]] = {}
 
 
+#: mallopt's names for the sizes from which memory is mapped on its own, and from which the heap's end is given back.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
+_settled = False
+
+
+def _settle() -> None:
+    """Let this process give large arrays back when they are freed: the allocator would raise its limit with each."""
+    global _settled
+    _settled = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_MMAP_THRESHOLD, 4 << 20)
+        libc.mallopt(_TRIM_THRESHOLD, 16 << 20)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def release(keep: str = "") -> None:
     """Empty the caches of other operators and give free memory back to the system."""
+    if not _settled:
+        _settle()
     for name, clear in caches.items():
         if name != keep:
             clear()
@@ -248,7 +246,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def key_filter(keys: DataFrame, count: int) -> np.ndarray:
-    """A Bloom filter of one hash over a column of longs, of at most 8 MB whatever the input; it only
+    """A Bloom filter of one hash over a column of longs (of any kind), of at most 8 MB whatever the input; it only
     spares later shuffles rows, so false positives (many, once it is full) cost time and not results."""
     bits = 1 << min(26, max(16, int(16 * max(count, 1)).bit_length()))
     block = 1 << 13
@@ -256,7 +254,7 @@ def key_filter(keys: DataFrame, count: int) -> np.ndarray:
     def run(batches):
         have = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            p = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(20)) & np.uint64(bits - 1)
+            p = (mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(20)) & np.uint64(bits - 1)
             np.bitwise_or.at(have, (p >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)))
         used = [i for i in range(0, len(have), block) if have[i : i + block].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([have[i : i + block].tobytes() for i in used], pa.binary())], ["at", "bits"])
@@ -273,7 +271,7 @@ def key_filter(keys: DataFrame, count: int) -> np.ndarray:
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether a key_filter lets each key (64 bits) through."""
-    p = (keys.view(np.uint64) >> np.uint64(20)) & np.uint64(8 * len(bits) - 1)
+    p = (mix(keys.view(np.uint64)) >> np.uint64(20)) & np.uint64(8 * len(bits) - 1)
     return ((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
