@@ -13,11 +13,18 @@ alone: the k-gram of least hash in it (winnowing). Equal strings share their anc
 occurs once has no repeat around it. Around repeated anchors, fragments with equal bytes are repeats
 of each other without more work; only fragments that differ (at the ends of passages and at edits) are
 fetched, dealt by anchor and searched with the suffix array. An anchor with more than HOT different
-fragments is resolved by the hashes of its strings instead, dealt by hash, so no group is unbounded.
+fragments is resolved by the hashes of its strings instead, dealt by hash.
+
+No group holds all occurrences of a hot anchor, fragment or string: each task sorts what it has before it
+is dealt, sends on two of equal fragments (or strings), which are spans by then, and sends anchors that
+are hot already in the task by another way, spread over all tasks, with a mark to their own group. There
+are as many groups as the bytes ask for.
 
 Defined cases: null texts are empty; texts shorter than `length` bytes keep every byte; overlapping
-repeats inside one text count; repeated rows repeat each other; other columns are ignored. Anchors and
-fragments are compared by 64-bit hashes; the suffix array compares bytes.
+repeats inside one text count; rows are told apart by a number, so repeated rows repeat each other and
+rows of one doc_id, or none, have their own result; an empty table gives no row; a very long text is one
+step and its spans one array; other columns are ignored. Anchors and fragments are compared by 64-bit
+hashes; the suffix array compares bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, bound_batches, key_filter, may_hold, mix, powers, release, shuffle_partitions, stored, text_batches
+from .common import BYTE_CODE, bound_batches, key_filter, may_hold, mix, passing_tables, powers, release, shuffle_partitions, stored, text_batches
 
 LENGTH = 400
 GRAM = 32
@@ -37,7 +44,11 @@ HOT = 500
 CONTEXTS = 8
 #: Bytes of fragments that one suffix array holds, about.
 ARRAY_BYTES = 1 << 17
-_FLUSH = 150_000
+_FLUSH, _FLUSH_STRINGS = 150_000, 600_000
+#: Bytes of packed anchors, or strings, of one group, about; an anchor has 68, a string 24.
+GROUP_BYTES = 8 << 20
+#: Rows of equal fragments, or strings, that one flush sends on to their group.
+_TWICE = 2
 
 
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -286,7 +297,7 @@ def _spans(rows: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _anchor_buckets(source: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+def _anchor_buckets(source: DataFrame, buckets: int, length: int, gram: int, hot: int, flush: int) -> DataFrame:
     """Packed anchors by bucket: a row for each bucket and batch of a task."""
 
     def run(batches):
@@ -296,38 +307,94 @@ def _anchor_buckets(source: DataFrame, buckets: int, length: int, gram: int) ->
             rid = part.column(0).to_numpy(zero_copy_only=False).view(np.int64)
             held.append((a, f, rid[row], p, left, right, c))
             count += len(p)
-            if count >= _FLUSH:
-                yield _packed(held, buckets)
+            if count >= flush:
+                yield _packed(held, buckets, length, gram, hot)
                 held, count = [], 0
         if count:
-            yield _packed(held, buckets)
+            yield _packed(held, buckets, length, gram, hot)
 
     return source.mapInArrow(run, "bucket int, a binary, f binary, r binary, x binary, c binary")
 
 
-def _packed(held: list, buckets: int):
-    a, f, r, p, left, right, c = (np.concatenate(x) for x in zip(*held, strict=True))
-    bucket = ((a >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+def _rank(*keys: np.ndarray) -> np.ndarray:
+    """How many rows before each one (in a stable order) are equal to it in all keys."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    head = np.flatnonzero(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+    return out
+
+
+def _by_bucket(bucket: np.ndarray, names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket: the bytes of its rows in every column."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    x = np.stack([p, left, right], 1)[order].astype(np.int32)
-    a, f, r, c = a[order], f[order], r[order], c[order]
-    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    at = list(zip(cut, np.append(cut[1:], len(bucket)), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *(pa.array([v[i:j].tobytes() for i, j in at], pa.binary()) for v in (a, f, r, x, c))], ["bucket", "a", "f", "r", "x", "c"])
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    at = list(zip(cut, np.append(cut[1:], len(bucket)), strict=True)) if len(bucket) else []
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *(pa.array([v[i:j].tobytes() for i, j in at], pa.binary()) for v in (c[order] for c in columns))], ["bucket", *names])
+
 
+#: In groups of a negative number, which are spread over all tasks: rows that are spans, and fragments of hot anchors.
+_SPAN, _FETCH = 1, 2
 
-def _shared_anchors(length: int, gram: int):
+
+def _packed(held: list, buckets: int, length: int, gram: int, most: int) -> pa.RecordBatch:
+    a, f, r, p, left, right, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    x = np.stack([p, left, right], 1).astype(np.int32)
+    whole = left + right + gram >= length
+    bucket = ((a >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    # Anchors of more than `most` different fragments here leave a mark (a row of no text) in their group.
+    rank = _rank(f, a)
+    kinds, different = np.unique(a[rank == 0], return_counts=True)
+    hot = kinds[different > most]
+    is_hot = np.isin(a, hot)
+    again = ~is_hot & (rank >= _TWICE)
+    stay, send = ~is_hot & ~again, (is_hot | again) & whole
+    n = len(hot)
+    nothing = np.zeros(n, np.int64)
+    mark = np.full((n, 3), -1, np.int32)
+    columns = [
+        np.concatenate([a[stay], hot, a[send]]),
+        np.concatenate([f[stay], hot, np.where(is_hot[send], _FETCH, _SPAN).astype(np.uint64)]),
+        np.concatenate([r[stay], nothing, r[send]]),
+        np.concatenate([x[stay], mark, x[send]]),
+        np.concatenate([c[stay], np.zeros((n, CONTEXTS), np.uint32), np.zeros((int(send.sum()), CONTEXTS), np.uint32)]),
+    ]
+    # What is sent is one row, in a group that the flush draws, so flushes spread it over all tasks.
+    drawn = -1 - int(mix(r[:1].view(np.uint64))[0] % np.uint64(buckets))
+    to = np.concatenate([bucket[stay], ((hot >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), np.full(int(send.sum()), drawn, np.int32)])
+    return _by_bucket(to, ["a", "f", "r", "x", "c"], columns)
+
+
+def _found(rid, begin, size, anchor, is_span, n) -> pa.Table:
+    return pa.table({"rid": pa.array(rid), "begin": pa.array(begin.astype(np.int64)), "size": pa.array(size.astype(np.int64)), "anchor": pa.array(anchor.view(np.int64), mask=is_span), "n": pa.array(n.astype(np.int64))})
+
+
+def _shared_anchors(length: int, gram: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
         """Spans of fragments that occur twice or more (anchor null), and fragments to be fetched."""
         get = lambda c, kind: np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()])
         a, f, r, x, c = get("a", np.uint64), get("f", np.uint64), get("r", np.int64), get("x", np.int32).reshape(-1, 3), get("c", np.uint32).reshape(-1, CONTEXTS)
+        w = length - gram + 1
+        if table.column("bucket")[0].as_py() < 0:
+            size = x[:, 1] + x[:, 2] + gram
+            return _found(r, x[:, 0] - x[:, 1], size, a, f == _SPAN, np.where(f == _SPAN, 0, hot + 1))
+        marked = np.unique(a[x[:, 0] < 0])
+        keep = x[:, 0] >= 0
+        a, f, r, x, c = a[keep], f[keep], r[keep], x[keep], c[keep]
+        known = np.isin(a, marked)  # hot in some task, so hot everywhere
+        size = x[known, 1] + x[known, 2] + gram
+        ok = size >= length
+        sent = _found(r[known][ok], (x[known, 0] - x[known, 1])[ok], size[ok], a[known][ok], np.zeros(ok.sum(), bool), np.full(ok.sum(), hot + 1))
+        a, f, r, x, c = a[~known], f[~known], r[~known], x[~known], c[~known]
         order = np.argsort(a, kind="stable")
         a = a[order]
         many = np.append(a[1:] == a[:-1], False) | np.append(False, a[1:] == a[:-1]) if len(a) else np.zeros(0, bool)
         order, a = order[many], a[many]
         f, r, x, c = f[order], r[order], x[order], c[order]
-        w = length - gram + 1
         steps = np.linspace(0, w, CONTEXTS + 1).astype(np.int64)
         near = np.zeros(len(a), bool)
         far_left, far_right = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
@@ -354,12 +421,13 @@ def _shared_anchors(length: int, gram: int):
         span = np.flatnonzero(twice & whole)
         fetch = np.flatnonzero(head & (distinct > 1) & whole)
         i = np.concatenate([span, fetch])
-        anchor = pa.array(np.concatenate([np.zeros(len(span), np.int64), a[fetch].view(np.int64)]), mask=np.arange(len(i)) < len(span))
         # What is fetched reaches no further than the contexts that occur elsewhere.
         left, right = x[i, 1].astype(np.int64), x[i, 2].astype(np.int64)
         cut = np.arange(len(i)) >= len(span)
         left[cut], right[cut] = np.minimum(left, far_left[i])[cut], np.minimum(right, far_right[i])[cut]
-        return pa.table({"rid": pa.array(r[i]), "begin": pa.array(x[i, 0] - left), "size": pa.array(left + right + gram), "anchor": anchor, "n": pa.array(np.concatenate([np.zeros(len(span)), distinct[fetch]]).astype(np.int64))})
+        is_span = np.arange(len(i)) < len(span)
+        n = np.concatenate([np.zeros(len(span)), distinct[fetch]])
+        return pa.concat_tables([sent, _found(r[i], x[i, 0] - left, left + right + gram, a[i], is_span, n)])
 
     return run
 
@@ -389,30 +457,36 @@ def _fragment_repeats(length: int):
     return run
 
 
-def _string_hashes(length: int, buckets: int):
+def _string_hashes(length: int, buckets: int, flush: int):
+    def packed(held: list) -> pa.RecordBatch:
+        h, r, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((p, r, h))
+        h, r, p = h[order], r[order], p[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1]))  # a string of two fragments counts once
+        h, r, p = h[new], r[new], p[new]
+        # Places beyond the second of a string are of a repeat already; they go as one row, to a group that the flush draws.
+        drawn = -1 - int(mix(r[:1].view(np.uint64))[0] % np.uint64(buckets))
+        bucket = np.where(_rank(h) < _TWICE, ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), drawn)
+        return _by_bucket(bucket.astype(np.int32), ["h", "r", "p"], [h, r, p])
+
     def run(batches):
         """Hashes of all strings of `length` bytes in fragments, packed by bucket."""
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
+        held, count = [], 0
+        for batch in batches:
             data = batch.column(2).to_pylist()
             rid, begin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            h, r, p = [], [], []
             for k, x in enumerate(data):
                 v = np.frombuffer(x, np.uint8)
                 up, down = powers(len(v) + 1)
                 total = np.append(np.uint64(0), np.cumsum(BYTE_CODE[v] * up[: len(v)]))
                 m = len(v) - length + 1
-                h.append(mix((total[length:] - total[:-length]) * down[:m]))
-                r.append(np.full(m, rid[k]))
-                p.append(begin[k] + np.arange(m))
-            if not h:
-                continue
-            h, r, p = np.concatenate(h), np.concatenate(r), np.concatenate(p)
-            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, h, r, p = bucket[order], h[order], r[order], p[order]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            at = list(zip(cut, np.append(cut[1:], len(bucket)), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *(pa.array([v[i:j].tobytes() for i, j in at], pa.binary()) for v in (h, r, p))], ["bucket", "h", "r", "p"])
+                held.append((mix((total[length:] - total[:-length]) * down[:m]), np.full(m, rid[k]), begin[k] + np.arange(m)))
+                count += m
+                if count >= flush:
+                    yield packed(held)
+                    held, count = [], 0
+        if count:
+            yield packed(held)
 
     return run
 
@@ -422,18 +496,15 @@ def _equal_strings(buckets: int):
         """Places of strings that occur twice, packed by a bucket of their text."""
         get = lambda c, kind: np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()])
         h, r, p = get("h", np.uint64), get("r", np.int64), get("p", np.int64)
-        order = np.lexsort((p, r, h))
-        h, r, p = h[order], r[order], p[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1]))  # a string of two fragments counts once
-        h, r, p = h[new], r[new], p[new]
-        many = np.append(h[1:] == h[:-1], False) | np.append(False, h[1:] == h[:-1])
-        r, p = r[many], p[many]
+        if table.column("bucket")[0].as_py() >= 0:
+            order = np.lexsort((p, r, h))
+            h, r, p = h[order], r[order], p[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1]))
+            h, r, p = h[new], r[new], p[new]
+            many = np.append(h[1:] == h[:-1], False) | np.append(False, h[1:] == h[:-1])
+            r, p = r[many], p[many]
         text = (mix(r.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(text, kind="stable")
-        text, r, p = text[order], r[order], p[order]
-        cut = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, np.int64)
-        at = list(zip(cut, np.append(cut[1:], len(text)), strict=True)) if len(text) else []
-        return pa.table({"texts": pa.array(text[cut]), "r": pa.array([r[i:j].tobytes() for i, j in at], pa.binary()), "p": pa.array([p[i:j].tobytes() for i, j in at], pa.binary())})
+        return pa.Table.from_batches([_by_bucket(text, ["r", "p"], [r, p])]).rename_columns(["texts", "r", "p"])
 
     return run
 
@@ -460,9 +531,15 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """
     spark = source.sparkSession
     bound_batches(spark)
-    parts = shuffle_partitions(spark)
     source = source.select("rid", "text")
-    found = _anchor_buckets(source, 4 * parts, length, gram).groupBy("bucket").applyInArrow(_shared_anchors(length, gram), "rid long, begin long, size long, anchor long, n long")
+    sized = int(source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b)
+
+    def groups(bytes_: int, each: int) -> int:
+        return max(each * shuffle_partitions(spark), -(-bytes_ // GROUP_BYTES))
+
+    # An anchor is expected in every half window.
+    buckets = groups(sized * 2 // (length - gram + 2) * 68, 4)
+    found = _anchor_buckets(source, buckets, length, gram, HOT, _FLUSH).groupBy("bucket").applyInArrow(_shared_anchors(length, gram, HOT), "rid long, begin long, size long, anchor long, n long")
     found = stored(found, "suffix-anchors")
     spans = found.where("anchor IS NULL").select("rid", "begin", "size")
     wanted = found.where("anchor IS NOT NULL")
@@ -477,7 +554,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             for batch in batches:
                 yield batch.filter(pa.array(may_hold(bloom.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.int64))))
 
-        texts = source.mapInArrow(sift, "rid long, text string").dropDuplicates(["rid"])
+        texts = source.mapInArrow(sift, "rid long, text string")
 
         def cut(batches):
             release()
@@ -491,13 +568,17 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["rid", "begin", "data", "anchor", "n"])
 
-        fragments = texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(cut, "rid long, begin long, data binary, anchor long, n long")
+        # The merge join keeps both Python steps in stages of their own, so a task has one worker.
+        fragments = texts.join(asked.hint("merge"), "rid").select("rid", "text", "asked").mapInArrow(cut, "rid long, begin long, data binary, anchor long, n long")
         arrays = max(1, int(total) // ARRAY_BYTES)
         cool = fragments.where(F.col("n") <= HOT).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(arrays)).alias("array")).applyInArrow(_fragment_repeats(length), "rid long, begin long, size long")
         spans = spans.unionAll(stored(cool, "suffix-repeats"))
-        if not wanted.where(F.col("n") > HOT).isEmpty():
-            hot = fragments.where(F.col("n") > HOT).select("rid", "begin", "data").mapInArrow(_string_hashes(length, 4 * parts), "bucket int, h binary, r binary, p binary")
-            equal = hot.groupBy("bucket").applyInArrow(_equal_strings(parts), "texts int, r binary, p binary")
+        strings = wanted.where(F.col("n") > HOT).agg(F.coalesce(F.sum(F.col("size") - length + 1), F.lit(0)).alias("n")).first().n
+        if strings:
+            # Every group may have places in every group of texts, so there are no more than the bytes ask for.
+            buckets = groups(24 * int(strings), 1)
+            hot = fragments.where(F.col("n") > HOT).select("rid", "begin", "data").mapInArrow(_string_hashes(length, buckets, _FLUSH_STRINGS), "bucket int, h binary, r binary, p binary")
+            equal = hot.groupBy("bucket").applyInArrow(_equal_strings(buckets), "texts int, r binary, p binary")
             spans = spans.unionAll(stored(equal.groupBy("texts").applyInArrow(_joined_places(length), "rid long, begin long, size long"), "suffix-hot"))
     return spans.groupBy("rid").agg(F.collect_set(F.struct("begin", "size")).alias("spans"))
 
@@ -506,8 +587,9 @@ def without_repeats(docs: DataFrame, keep: list[str] | None = None, length: int
     """Columns `keep`, n_bytes, n_removed, n_spans, kept (binary), kept_text (kept without the
     remains of characters that a cut went through) and removed (begin and end, flat) for every row."""
     keep = keep or ["doc_id"]
-    named = docs.select(F.xxhash64("doc_id", "text").alias("rid"), *keep, *(["text"] if "text" not in keep else []))
-    spans = repeated_spans(named, length, gram)
+    with passing_tables():
+        named = stored(docs.select(F.monotonically_increasing_id().alias("rid"), *keep, *(["text"] if "text" not in keep else [])), "suffix-rows", last=True)
+        spans = stored(repeated_spans(named, length, gram), "suffix-spans", last=True)
     both = named.join(spans, "rid", "left")
     both = both.select(*keep, F.coalesce("text", F.lit("")).alias("text__"), "spans")
 
