@@ -39,6 +39,7 @@ _STOP = re.compile(rb"(?<=[a-z])([,.])(?= )")
 _OTHER_STOP = re.compile(rb"[^a-z][,.] ")
 #: A word that no text's word holds as a part unless it is encoded alone; its ids mark where words end.
 _MARK = "\x01"
+_BETWEEN = b" " + _MARK.encode() + b" "
 
 
 class WordTokenizer:
@@ -69,17 +70,16 @@ class WordTokenizer:
         if len(self.mark) != 1:
             alone = new
         groups = [many[at : at + 200] for at in range(0, len(many), 200)]
-        joined = [f" {_MARK} ".join([w.decode("utf-8", "replace") for w in some]) for some in groups]
+        joined = [_BETWEEN.join(some).decode("utf-8", "replace") for some in groups]
         for some, coded in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, np.uint32)
-            cut = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
-            if len(cut) != len(some):
+            cut = np.flatnonzero(ids == self.mark[0])
+            if len(cut) + 1 != len(some):
                 alone += some
                 continue
-            begin = 0
-            for w, end in zip(some, cut.tolist(), strict=True):
-                self.cache[w] = ids[begin:end].tobytes()
-                begin = end + 1
+            raw = ids.tobytes()
+            begin, end = np.append(0, 4 * (cut + 1)).tolist(), np.append(4 * cut, len(raw)).tolist()
+            self.cache.update(zip(some, [raw[i:j] for i, j in zip(begin, end, strict=True)], strict=True))
         for w in alone:
             self.cache[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
 
@@ -97,10 +97,13 @@ class WordTokenizer:
         for t in texts:
             words += self._words(t if isinstance(t, bytes) else t.encode("utf-8", "replace"))
             at.append(len(words))
-        if new := set(words).difference(self.cache):
-            self._learn(sorted(new))
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words[i:j])), np.uint32) for i, j in zip(at, at[1:], strict=False)]
+        got = list(map(self.cache.get, words))
+        missing = [k for k, ids in enumerate(got) if ids is None]
+        if missing:
+            self._learn(list({words[k] for k in missing}))
+            for k in missing:
+                got[k] = self.cache[words[k]]
+        return [np.frombuffer(b"".join(got[i:j]), np.uint32) for i, j in zip(at, at[1:], strict=False)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
