@@ -9,13 +9,20 @@ at most n // 4 differ, so at least 1 + m(n) of them are equal: enumerating the b
 every pair. m(n) exceeds the empty bins that a set usually has, so empty bins need a signature only
 in the rare sets with more of them, and the guarantee stays without them.
 
-More is known than that: of the 1 + m(a) equal bins of a pair no more are empty than either set has
+In the bands of the smallest sets (up to 12 elements, k = 1 or 2 differences) enumerating subsets takes no
+more signatures and makes each far more telling: the elements are dealt to k + 2 second-level partitions,
+of which a pair agrees on two at least, so the contents of every subset of two are signed (3 or 6
+signatures, each of 2 / 3 or 1 / 2 of the set). Where a subset is empty the set is dealt again by another
+hash and signs that dealing as well: a pair that agrees on an empty subset alone does so in both sets, so
+both go on, to the last of DEALINGS dealings, which signs its empty subsets too.
+
+More is known of the larger bands than that: of the 1 + m(a) equal bins of a pair no more are empty than either set has
 empty bins. A set of n elements may be the larger one, and its partner has at least 4n / 5 elements,
 so it shares at least need(n) = 1 + m(ceil(4n / 5)) - empty signatures with any partner. A set of
 which fewer than `need` signatures occur in any other set has no partner and is peeled off before
 pairs are made; texts that merely share a line or a passage go this way.
 
-Signatures leave each task packed by bucket (6 bytes each). Equal sets collapse to one key first, so
+Signatures leave each task packed by bucket (6 bytes each); there are as many buckets as the corpus needs. Equal sets collapse to one key first, so
 copies are never paired; a bucket yields distinct lists of keys that share a signature. Short lists
 give their pairs, long ones give pairs of chunks (a few hundred sets each) whose sets are compared
 inside one task, which emits a count of links for each key and a spanning forest of them. Every pair
@@ -26,7 +33,9 @@ key that leads most of its lists. Then only lists whose keys are still in differ
 
 Defined cases: null and word-free texts have an empty set, link with nothing and are their own
 component; texts of one to four words are one shingle; repeated rows and copies share a component;
-doc_id ties keep one value; other columns are ignored. Element hashes have 64 bits, compared in
+every row returns, whatever its doc_id repeats; a component of rows without doc_id has the id null; an
+empty table gives no row; a very long text is a step of its own, its whole set compared; other columns
+are ignored. Element hashes have 64 bits, compared in
 verification by their upper 48.
 """
 
@@ -37,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, bound_batches, chain, components, key_filter, may_hold, mix, shuffle_partitions, starts_of, stored, text_batches, words
+from .common import SPACE_WORDS, bound_batches, chain, components, key_filter, may_hold, mix, passing_tables, release, shuffle_partitions, starts_of, stored, text_batches, words
 
 SHINGLE = 5
 #: Similarity as a fraction; the bounds of the module text hold for these.
@@ -95,6 +104,55 @@ def _signed(n):
     return n // 4 + 1 + _spare(n)
 
 
+#: Times that the subsets of a small set are dealt at most.
+DEALINGS = 4
+
+
+def _differences(band: int) -> int:
+    """The elements that two similar sets of a band may differ in, at most."""
+    return int(2 * BAND_HIGH[band]) // 9
+
+
+def _subset_bands() -> int:
+    """The first bands, in which all subsets of two of k + 2 partitions are no more than single bins."""
+    band = 0
+    while (k := _differences(band)) and (k + 2) * (k + 1) // 2 <= _signed(BAND_HIGH[band : band + 1])[0]:
+        band += 1
+    return band
+
+
+SUBSET_BANDS = _subset_bands()
+
+
+def _subset_signatures(elements: np.ndarray, start: np.ndarray, n: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sets at start (of n elements each) in a band of small sets, and which set has each."""
+    parts = _differences(band) + 2
+    one, two = np.triu_indices(parts, 1)
+    sigs, rows = [], []
+    left = np.arange(len(start))
+    for deal in range(DEALINGS):
+        m = n[left]
+        owner = np.repeat(np.arange(len(left)), m)
+        e = elements[np.repeat(start[left] - np.append(0, np.cumsum(m))[:-1], m) + np.arange(m.sum())]
+        own = mix(e ^ mix(np.array([1 + band * DEALINGS + deal], np.uint64)))
+        cell = owner * parts + ((own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        total = np.zeros(len(left) * parts, np.uint64)
+        np.add.at(total, cell, own)
+        total = total.reshape(-1, parts)
+        filled = np.bincount(cell, minlength=total.size).reshape(-1, parts) > 0
+        # What a subset holds, told apart by the place in it.
+        held = mix(total[:, one]) + np.uint64(3) * mix(total[:, two] ^ np.uint64(0x5DEECE66D))
+        tag = mix(np.uint64(1 << 62) + np.uint64((band * DEALINGS + deal) << 8) + np.arange(len(one), dtype=np.uint64))
+        empty = ~(filled[:, one] | filled[:, two])
+        at, subset = np.nonzero(~empty if deal + 1 < DEALINGS else np.ones_like(empty))
+        sigs.append(mix(held[at, subset] + tag[subset]))
+        rows.append(left[at])
+        left = left[empty.any(axis=1)]
+        if not len(left):
+            break
+    return np.concatenate(sigs), np.concatenate(rows)
+
+
 def signatures(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signature and row, for every row and band, and each row's least need over its bands; sets of
     fewer than 4 elements equal or match nothing."""
@@ -103,10 +161,17 @@ def signatures(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     hi = np.searchsorted(BAND_LOW, size, side="right") - 1
     sigs, rows = [], []
     need = np.full(len(size), 65535, np.int64)
+    for small in range(SUBSET_BANDS):
+        use = np.flatnonzero((size >= 4) & (lo <= small) & (small <= hi))
+        if len(use):
+            s, r = _subset_signatures(elements, at[use], size[use], small)
+            sigs.append(s)
+            rows.append(use[r])
+            need[use] = 1
     for extra in range(4):
-        use = np.flatnonzero((size >= 4) & (lo + extra <= hi))
+        use = np.flatnonzero((size >= 4) & (lo + extra <= hi) & (lo + extra >= SUBSET_BANDS))
         if not len(use):
-            break
+            continue
         band = lo[use] + extra
         n = size[use]
         bins = _signed(BAND_HIGH[band])
@@ -282,7 +347,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 
 
 #: Lists of up to so many keys give pairs; longer ones are compared in chunks of about CHUNK sets or CHUNK_BYTES.
-SHORT, CHUNK, CHUNK_BYTES = 6, 1024, 8 << 20
+SHORT, CHUNK, CHUNK_BYTES = 6, 4096, 8 << 20
+#: Sets, and distinct elements, of one matrix inside such a comparison.
+_TILE, _WIDTH = 1024, 4096
 
 
 def _torn(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -307,14 +374,41 @@ def _short_pairs(torn: DataFrame) -> DataFrame:
     return torn.where(F.size("m") <= SHORT).select("m").mapInArrow(run, "a long, b long").distinct()
 
 
+def _tiles(begin: int, end: int) -> list[tuple[int, int]]:
+    return [(i, min(i + _TILE, end)) for i in range(begin, end, _TILE)]
+
+
+def _near(owner: np.ndarray, element: np.ndarray, top: int, size: np.ndarray, i0: int, i1: int, j0: int, j1: int) -> np.ndarray:
+    """Which of the sets i0 to i1 and j0 to j1 are similar; owner and element list the shared elements by element."""
+    common = np.zeros((i1 - i0, j1 - j0), np.float32)
+    mine, other = (owner >= i0) & (owner < i1), (owner >= j0) & (owner < j1)
+    # Only elements that occur on both sides count.
+    both = np.flatnonzero((np.bincount(element[mine], minlength=top) > 0) & (np.bincount(element[other], minlength=top) > 0))
+    number = np.full(top, -1)
+    number[both] = np.arange(len(both))
+    x = number[element]
+    mine, other = np.flatnonzero(mine & (x >= 0)), np.flatnonzero(other & (x >= 0))
+    for at in range(0, len(both), _WIDTH):
+        width = min(_WIDTH, len(both) - at)
+        sides = []
+        for places, first, n in ((mine, i0, i1 - i0), (other, j0, j1 - j0)):
+            p, q = np.searchsorted(x[places], [at, at + width])
+            some = np.zeros((n, width), np.float32)
+            some[owner[places[p:q]] - first, x[places[p:q]] - at] = 1
+            sides.append(some)
+        common += sides[0] @ sides[1].T
+    return DENOMINATOR * common >= NUMERATOR * (size[i0:i1, None] + size[None, j0:j1] - common)
+
+
 def _block_links(table: pa.Table) -> pa.Table:
-    """The similar pairs of one chunk, or those between two: the number of rows that each key is linked
+    """The similar pairs of one chunk, or those between it and smaller ones: the number of rows that each key is linked
     with (a, n), and links (a, b) as far as they join components."""
-    order = np.lexsort((table.column("key").to_numpy(), table.column("chunk").to_numpy()))
-    key, root, chunk, copies = (table.column(x).to_numpy()[order] for x in ("key", "root", "chunk", "copies"))
+    release()
+    order = np.lexsort((table.column("key").to_numpy(), table.column("side").to_numpy()))
+    key, root, side, copies = (table.column(x).to_numpy()[order] for x in ("key", "root", "side", "copies"))
     sets = [_unpack(table.column("elements")[int(i)].as_py()) for i in order]
-    # Rows are the first chunk, columns the second; a chunk alone is both.
-    rows = int(np.searchsorted(chunk, chunk[0], side="right"))
+    # Rows are the first side, columns the second; a chunk alone is both.
+    rows = int(np.count_nonzero(side == 0))
     alone = rows == len(key)
     left = 0 if alone else rows
     size = np.array([len(s) for s in sets])
@@ -325,25 +419,8 @@ def _block_links(table: pa.Table) -> pa.Table:
     element = np.unique(element, return_inverse=True)[1]
     order = np.argsort(element, kind="stable")
     owner, element = owner[order], element[order]
-    common = np.zeros((rows, len(sets) - left), np.float32)
-    width = 4096
     top = int(element[-1]) + 1 if len(element) else 0
-    for at in range(0, top, width):
-        i, j = np.searchsorted(element, [at, at + width])
-        some = np.zeros((len(sets), min(width, top - at)), np.float32)
-        some[owner[i:j], element[i:j] - at] = 1
-        common += some[:rows] @ some[left:].T
-    both = size[:rows, None] + size[None, left:]
-    near = DENOMINATOR * common >= NUMERATOR * (both - common)
-    if alone:
-        np.fill_diagonal(near, False)
     linked = np.zeros(len(sets), np.int64)
-    linked[:rows] = near @ copies[left:]
-    if not alone:
-        linked[left:] = copies[:rows] @ near
-    near &= root[:rows, None] != root[None, left:]
-    if alone:
-        near = np.triu(near)
     parent = {int(r): int(r) for r in root}
 
     def find(x: int) -> int:
@@ -353,12 +430,21 @@ def _block_links(table: pa.Table) -> pa.Table:
         return x
 
     a, b = [], []
-    for i, j in zip(*np.nonzero(near), strict=True):
-        x, y = find(int(root[i])), find(int(root[left + j]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            a.append(key[i])
-            b.append(key[left + j])
+    for i0, i1 in _tiles(0, rows):
+        for j0, j1 in _tiles(i0 if alone else left, len(sets)):
+            near = _near(owner, element, top, size, i0, i1, j0, j1)
+            if alone and i0 == j0:
+                np.fill_diagonal(near, False)
+            linked[i0:i1] += near @ copies[j0:j1]
+            if i0 != j0:
+                linked[j0:j1] += copies[i0:i1] @ near
+            near &= root[i0:i1, None] != root[None, j0:j1]
+            for i, j in zip(*np.nonzero(near), strict=True):
+                x, y = find(int(root[i0 + i])), find(int(root[j0 + j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(key[i0 + i])
+                    b.append(key[j0 + j])
     some = np.flatnonzero(linked)
     return pa.table({"a": pa.array([*a, *key[some]], pa.int64()), "b": pa.array([*b, *[None] * len(some)], pa.int64()), "n": pa.array([*[None] * len(a), *linked[some].tolist()], pa.int64())})
 
@@ -384,8 +470,16 @@ def _chunk_links(torn: DataFrame, docs: DataFrame, copies: DataFrame) -> tuple[D
     chunk = stored(family.join(extent, "family").select("key", F.xxhash64("family", F.pmod(F.xxhash64("hub"), F.col("chunks"))).alias("chunk")), "jaccard-chunks")
     held = each.join(chunk, "key").groupBy("name").agg(F.array_sort(F.collect_set("chunk")).alias("c")).select("c").distinct()
     pairs = stored(held.select(F.posexplode("c").alias("i", "x"), "c").select("x", F.explode(F.slice("c", F.col("i") + 1, F.size("c"))).alias("y")).distinct(), "jaccard-chunk-pairs")
-    sides = pairs.withColumn("task", F.xxhash64("x", "y")).select("task", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"))
-    work = stored(sides, "jaccard-tasks").join(stored(sets.join(chunk, "key"), "jaccard-chunk-sets"), "chunk").select("task", "chunk", "key", "root", "copies", "elements")
+    placed = stored(sets.join(chunk, "key"), "jaccard-chunk-sets")
+    sizes = placed.groupBy("chunk").agg(F.count("*").alias("n"), F.sum(F.length("elements")).alias("bytes"))
+    # A chunk meets its smaller partners a task's worth at a time, so it travels once for many of them.
+    cross = pairs.where("x <> y").join(sizes.select(F.col("chunk").alias("x"), F.struct("n", "bytes", F.col("chunk").alias("id")).alias("p")), "x").join(sizes.select(F.col("chunk").alias("y"), F.struct("n", "bytes", F.col("chunk").alias("id")).alias("q")), "y")
+    cross = cross.select(F.greatest("p", "q").id.alias("large"), F.least("p", "q").alias("small"))
+    bins = cross.groupBy("large").agg(F.greatest(F.ceil(F.sum("small.n") / CHUNK), F.ceil(F.sum("small.bytes") / CHUNK_BYTES), F.lit(1)).alias("bins"))
+    cross = stored(cross.join(bins, "large").select(F.xxhash64("large", F.pmod(F.xxhash64("small.id"), F.col("bins"))).alias("task"), "large", F.col("small.id").alias("small")), "jaccard-tasks")
+    alone = pairs.where("x = y").select(F.xxhash64("x", F.lit(-1)).alias("task"), F.col("x").alias("chunk"), F.lit(0).alias("side"))
+    sides = alone.unionAll(cross.select("task", F.col("large").alias("chunk"), F.lit(0).alias("side")).distinct()).unionAll(cross.select("task", "small", F.lit(1)))
+    work = sides.join(placed, "chunk").select("task", "side", "key", "root", "copies", "elements")
     return stored(work.groupBy("task").applyInArrow(_block_links, "a long, b long, n long"), "jaccard-chunk-links"), chunk, pairs
 
 
@@ -410,17 +504,25 @@ def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     comparison of all candidate pairs; without count_links the column is left out and only pairs that
     may join components are compared.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    source = docs.select("doc_id", "text")
+    bound_batches(docs.sparkSession)
+    with passing_tables():
+        return _components(docs.select("doc_id", "text"), count_links)
+
+
+#: Signatures that one bucket holds, about; each is 6 bytes and its share of a key.
+BUCKET_SIGNATURES = 1 << 21
+
 
+def _components(source: DataFrame, count_links: bool) -> DataFrame:
     def describe(batches):
         for part, buf, off in text_batches(batches):
             elements, at = shingle_sets(buf, off)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(set_keys(elements, at).view(np.int64))], ["doc_id", "n_shingles", "set_key"])
 
-    rows = stored(source.mapInArrow(describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key long"), "jaccard-docs")
-    buckets = shuffle_partitions(spark)
+    rows = stored(source.mapInArrow(describe, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key long"), "jaccard-docs", last=True)
+    # A set signs about a third of its elements in each of its one or two bands.
+    signed = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first().n // 2
+    buckets = max(shuffle_partitions(source.sparkSession), -(-int(signed) // BUCKET_SIGNATURES))
     lists = _bucket_signatures(source, buckets).groupBy("bucket").applyInArrow(_shared_lists, "name long, times long, members array<long>, needs array<int>")
     lists = stored(lists.groupBy("name").agg(F.sum("times").alias("times"), F.first("members").alias("members"), F.first("needs").alias("needs")), "jaccard-lists")
     lists = _peeled(_peeled(lists, "jaccard-peeled-1"), "jaccard-peeled-2")
@@ -446,7 +548,7 @@ def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     named = stored(named, "jaccard-named")
     roots = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-roots")
     extra = ["n_links"] if count_links else []
-    named = stored(named.join(roots, "root").select("set_key", "component_id", *extra), "jaccard-components")
+    named = stored(named.join(roots, "root").select("set_key", "component_id", *extra), "jaccard-components", last=True)
     return rows.join(named, "set_key", "left").select("doc_id", "n_shingles", "set_key", *(F.coalesce(x, F.lit(0)).alias(x) for x in extra), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
