@@ -1,12 +1,16 @@
 """The ten operators against brute force, round trips and held-out accuracy, with the defined odd cases."""
 
 import hashlib
+import math
+import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -78,9 +82,42 @@ def test_language_is_batch_independent():
         assert Counter(b[r == i].tolist()) == Counter(alone.tolist())
 
 
+def test_predictions_against_a_plain_softmax():
+    rng = random.Random(4)
+    texts = [prose(rng, 30) for _ in range(40)] + ["der die das und " * 9, "le la les et " * 9]
+    model = language.train(texts, ["a"] * 40 + ["b", "c"], language.LanguageConfig(bits=10, epochs=2))
+    buf, off = common.text_buffer(pa.array(texts))
+    best, p = language.predict(buf, off, model)
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        b, _ = language.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 10)
+        z = [(sum(float(model.table[k, c]) for k in b) / len(b) + model.bias[c]) / model.temperature for c in range(3)]
+        e = [math.exp(x - max(z)) for x in z]
+        assert best[i] == e.index(max(e)) and p[i] == pytest.approx(max(e) / sum(e), rel=1e-5)
+
+
 # 2 toxicity
 
 
+def test_scores_against_a_plain_noisy_or():
+    rng = random.Random(5)
+    texts = [prose(rng, 40) + (". vilewort " if i % 3 == 0 else ".") + "tail\nend" for i in range(60)]
+    config = toxicity.ToxicityConfig(bits=12, epochs=3)
+    weight = toxicity.train(texts, np.array([i % 3 == 0 for i in range(60)], int), config)
+    buf, off = common.text_buffer(pa.array([*texts, "", "..."], pa.large_string()))
+    got, _, _ = toxicity.score_rows(buf, off, weight)
+    for i, t in enumerate([*texts, "", "..."]):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", t):
+            raw = np.frombuffer(sentence.encode(), np.uint8)
+            buckets = set(toxicity.features(raw, np.array([0, len(raw)]), 12)[0].tolist())
+            if buckets:
+                clean *= 1 - 1 / (1 + math.exp(-(float(weight[1 << 12]) + sum(float(weight[b]) for b in buckets))))
+        up = math.exp(float(weight[-1]))
+        want = (1 - clean) * up / (clean + (1 - clean) * up)
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
 def test_toxicity_finds_the_offending_sentence(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -293,6 +330,103 @@ def test_jpeg_against_an_inverse_transform():
     assert np.abs(np.clip(np.round(basis.T @ x.reshape(8, 8) @ basis + 128), 0, 255) - grey[0, :8, :8]).max() <= 1
 
 
+def plain_scan(blocks, components, tables, restart, unit):
+    """The entropy-coded bytes of blocks [(component, 64 coefficients in zigzag order)], one bit string at a time."""
+    out, bits, last = b"", "", [0] * components
+
+    def code(table, symbol):
+        by_code, by_size, _ = mjpeg._codes(*map(list, table))
+        return format(int(by_code[symbol]), f"0{int(by_size[symbol])}b")
+
+    def number(v):
+        n = abs(v).bit_length()
+        return format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    for i, (c, z) in enumerate(blocks):
+        if restart and i and i % (restart * unit) == 0:
+            out += flush(bits) + bytes([0xFF, 0xD0 + (i // (restart * unit) - 1) % 8])
+            bits, last = "", [0] * components
+        d = int(z[0]) - last[c]
+        last[c] = int(z[0])
+        bits += code(tables[c][0], abs(d).bit_length()) + number(d)
+        run = 0
+        end = max([k for k in range(1, 64) if z[k]], default=0)
+        for k in range(1, end + 1):
+            if not z[k]:
+                run += 1
+                continue
+            while run > 15:
+                bits += code(tables[c][1], 0xF0)
+                run -= 16
+            bits += code(tables[c][1], run << 4 | abs(int(z[k])).bit_length()) + number(int(z[k]))
+            run = 0
+        if end < 63:
+            bits += code(tables[c][1], 0)
+    return out + flush(bits)
+
+
+@pytest.mark.parametrize("sampling", [((1, 1),), ((1, 1), (1, 1), (1, 1)), ((2, 2), (1, 1), (1, 1)), ((2, 1), (1, 1), (1, 1))])
+@pytest.mark.parametrize("restart", [0, 2])
+@pytest.mark.parametrize("own_tables", [False, True])
+def test_colour_frames(sampling, restart, own_tables):
+    rng = np.random.default_rng(len(sampling) + restart)
+    height, width = 27, 43
+    h, v = sampling[0]
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    standard = ((mjpeg.DC_BITS, mjpeg.DC_SYMBOLS), (mjpeg.AC_BITS, mjpeg.AC_SYMBOLS))
+    chroma = ((mjpeg.DC_BITS_CHROMA, mjpeg.DC_SYMBOLS_CHROMA), (mjpeg.AC_BITS_CHROMA, mjpeg.AC_SYMBOLS_CHROMA))
+    tables = [standard] + [chroma] * (len(sampling) - 1)
+    blocks, luma = [], np.zeros((down * v, across * h, 64), int)
+    for y in range(down):
+        for x in range(across):
+            for c, (a, b) in enumerate(sampling):
+                for k in range(a * b):
+                    z = np.where(rng.random(64) < rng.choice([0.02, 0.4]), rng.integers(-60, 61, 64), 0)
+                    z[0] = rng.integers(-200, 200)
+                    blocks.append((c, z))
+                    if c == 0:
+                        luma[y * v + k // h, x * h + k % h] = z
+    unit = sum(a * b for a, b in sampling)
+    segment = mjpeg._segment
+    quant = bytes(range(1, 65))
+    head = b"\xff\xd8" + segment(0xDB, b"\x00" + quant + b"\x01" + b"\x02" * 64)
+    head += segment(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(sampling)]) + b"".join(bytes([i + 1, a << 4 | b, min(i, 1)]) for i, (a, b) in enumerate(sampling)))
+    if own_tables:
+        for i, (dc, ac) in enumerate((standard, chroma)):
+            head += segment(0xC4, bytes([i, *dc[0], *dc[1]])) + segment(0xC4, bytes([16 + i, *ac[0], *ac[1]]))
+    if restart:
+        head += segment(0xDD, restart.to_bytes(2, "big"))
+    head += segment(0xDA, bytes([len(sampling)]) + b"".join(bytes([i + 1, 0x11 * min(i, 1)]) for i in range(len(sampling))) + b"\x00\x3f\x00")
+    frame = head + plain_scan(blocks, len(sampling), tables, restart, unit) + b"\xff\xd9"
+    c, grey = mjpeg.decode_frames([frame, frame])
+    assert (c[1].reshape(luma.shape) == luma).all() and grey.shape == (2, height, width)
+    clip = mjpeg._avi([frame] * 3, 0)
+    assert [len(f) for f in mjpeg.parse_riff(clip)["frames"]] == [len(frame)] * 3
+
+
+def test_features_against_a_plain_count(spark):
+    texts = families(6, 4) + [None, "z" * 5000]
+    got = {r.doc_id: r.feature for r in mjpeg.read_media(mjpeg.store_text(docs_of(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        grey = mjpeg.decode_frames(mjpeg.parse_riff(mjpeg.write_avis([(t or "").encode()])[0])["frames"])[1]
+        hist = [[sum(int(p) // 16 == b for p in g.reshape(-1)) for b in range(16)] for g in grey]
+        diffs = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) for x, y in zip(hist, hist[1:], strict=False)]
+        cuts, own, spread = [], [], 0.0
+        for k, d in enumerate(diffs):
+            if len(own) >= 3 and d > sum(own) / len(own) + 3 * max(spread / len(own), 1.0):
+                cuts.append(k + 1)
+                own, spread = [], 0.0
+                continue
+            own.append(d)
+            spread += abs(d - sum(own) / len(own))
+        total = [sum(h[b] for h in hist) for b in range(16)]
+        assert got[i] == f"frames={len(grey)};shots={len(cuts) + 1};cuts={'.'.join(map(str, cuts))};hist={'.'.join(map(str, total))}"
+
+
 # 6 sentencepiece
 
 
@@ -536,9 +670,11 @@ def test_maximal_repeats(alphabet):
         assert cover == plain_cover(texts, length)
 
 
-@pytest.mark.parametrize("hot", [1500, 2])
-def test_removal_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,flush", [(1500, 150_000), (2, 150_000), (2, 20), (6, 60)])
+def test_removal_against_brute_force(spark, monkeypatch, hot, flush):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "_FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "_FLUSH_STRINGS", 4 * flush)
     rng = random.Random(8)
     shared = [prose(rng, 150) for _ in range(4)]
     texts = list(ODD)
@@ -547,12 +683,20 @@ def test_removal_against_brute_force(spark, monkeypatch, hot):
         k = rng.randint(0, 300)
         texts.append(prose(rng, rng.randint(0, 90)) + part[k : k + rng.choice([380, 399, 400, 401, 600])] + prose(rng, rng.randint(0, 90)))
     texts.append(shared[0] + "|" + shared[0])
+    # Copies, rows that repeat whole, one id with two texts, and rows without an id.
+    texts += [texts[20]] * 9 + [texts[21]]
+    ids = [*range(len(texts) - 4), 5, 5, None, None]
     raw = [(t or "").encode() for t in texts]
     cover = plain_cover(raw, 400)
-    got = {r.doc_id: r for r in suffix_dedup.without_repeats(docs_of(spark, texts)).collect()}
-    for i, b in enumerate(raw):
-        assert bytes(got[i].kept) == bytes(x for p, x in enumerate(b) if p not in cover[i]), i
-        assert got[i].n_removed == len(cover[i]) and got[i].n_spans == sum(p - 1 not in cover[i] for p in cover[i])
+    got = suffix_dedup.without_repeats(docs_of(spark, texts, ids)).collect()
+    want = Counter()
+    for d, b, c in zip(ids, raw, cover, strict=True):
+        want[d, bytes(x for p, x in enumerate(b) if p not in c), len(c), sum(p - 1 not in c for p in c)] += 1
+    assert Counter((r.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in got) == want
+
+
+def test_removal_from_an_empty_table(spark):
+    assert suffix_dedup.without_repeats(docs_of(spark, [])).count() == 0
 
 
 # shared pieces
@@ -584,3 +728,77 @@ def test_words_cross_neither_rows_nor_batches():
     h, start, end, row = common.words(np.frombuffer(b"".join(raw), np.uint8), off, common.SPACE_WORDS)
     assert row.tolist() == [0, 0, 2, 3, 4, 4] and h[0] == h[3] and h[1] == h[2]
     assert h[0] == common.words(np.frombuffer(b"x alpha", np.uint8), np.array([0, 7]), common.SPACE_WORDS)[0][1]
+
+
+# queries
+
+
+@pytest.mark.parametrize("name", ["op4_jaccard", "op7_decontaminate", "op8_warc", "op10_suffix_dedup"])
+def test_query_equals_its_sql(spark, tmp_path, name):
+    import duckdb
+
+    from leafgrade.llm.queries import ORACLE_SQL, QUERIES
+
+    rng = random.Random(15)
+    texts = [*ODD, *families(7, 8), "same " * 200]
+    passage = prose(rng, 110)
+    texts += [prose(rng, 20) + passage + prose(rng, 30) for _ in range(5)]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, texts[20][:200]), (2, "no such words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"u{i}", t and t[:300]) for i, t in enumerate(texts)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = con.sql(ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(tuple(r[c] for c in want.columns) for r in got.collect()) == Counter(want.fetchall())
+
+
+@pytest.mark.parametrize("rows", [0, 2])
+def test_queries_on_empty_tables_and_repeated_rows(spark, tmp_path, rows):
+    """Every query gives no row on empty tables, and equal rows for rows that repeat whole, with nulls in all columns."""
+    import corpus_pipeline
+
+    from leafgrade.llm.queries import QUERIES
+
+    docs = [(1, "one two three four five six. idiot seven", "en", "s", 3), (None, None, None, None, None), (2, "", "en", None, 0)] * rows
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, None, None)] * rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, "one two")] * rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None, None, None), (1, "u", "x")] * rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name, query in QUERIES.items():
+        got = query(spark, str(tmp_path)).collect()
+        key = "page_id" if name == "op8_warc" else "doc_id"
+        assert Counter(r[key] for r in got) == Counter(d[0] for d in (docs if key == "doc_id" else [(None,), (1,)] * rows)), name
+        for k in {r[key] for r in got}:
+            own = {tuple(v for c, v in r.asDict().items() if c not in ("start", "n_corrected")) for r in got if r[key] == k}
+            assert len(own) == 1, (name, own)
+    # In the pipeline the toxic document goes, and texts without words all stay.
+    left = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in left) == Counter([None, 2] * rows)
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_tokenizing_queries_equal_the_libraries_on_the_whole_table(spark):
+    import sentencepiece
+
+    from leafgrade.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    at = 0
+    for r in sorted(QUERIES["op3_token_files"](spark, DATA).collect(), key=lambda r: r.doc_id):
+        ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = QUERIES["op6_sentencepiece"](spark, DATA).collect()
+    assert len(got) == len(texts) and sum(r.n_corrected for r in got) == 0
+    for r in got:
+        ids = pieces.encode(texts[r.doc_id], add_eos=True)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(pieces.decode(ids)))

@@ -48,7 +48,7 @@ def test_stages(spark, folder):
 
     cut = {r.doc_id: r for r in steps["suffix_array"](spark, docs, str(path)).collect()}
     raw = [(t or "").encode() for t in texts]
-    cover = plain_cover(raw, 400)
+    cover = plain_cover(raw, corpus_pipeline.PASSAGE_BYTES)
     for i, b in enumerate(raw):
         left = bytes(x for p, x in enumerate(b) if p not in cover[i]).decode()
         assert cut[i].text == left and cut[i].n_chars == len(left)
