@@ -2,6 +2,11 @@
 
 Every stage but the last returns the columns it was given. Rows whose score, group, spans or windows
 decide against them leave in that stage; the suffix-array stage shortens texts and keeps every row.
+
+Defined cases: an empty table stays empty; null and empty texts score 0, are like nothing, lose nothing
+and stay; repeated rows are copies, of which one stays; rows of one doc_id and different texts are judged
+each by its own text; rows with a null doc_id are never labelled, and of similar texts the row with a
+known doc_id stays before them; very long texts are read whole, one at a time; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -10,7 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrade.llm import decontaminate, jaccard, sentencepiece_bpe, suffix_dedup, toxicity
-from leafgrade.llm.common import stored
+from leafgrade.llm.common import delete, passing_tables, scratch, stored
+
+#: Bytes from which a repeated string is cut. A passage of 51 words of the test tables has 235 to 400 bytes.
+PASSAGE_BYTES = 200
+#: Words that a worker remembers in the last stage; workers also hold what earlier stages left.
+CACHED_WORDS = 400_000
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -31,15 +41,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: that of the least doc_id, and one of its repeated rows."""
-    groups = jaccard.jaccard_components(docs, count_links=False)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """One row of each group of similar texts: that of the least doc_id. Texts without words all stay."""
+    rows = stored(docs.select(F.struct(*docs.columns).alias("row__"), F.monotonically_increasing_id().alias("at__")), "pipeline-rows", last=True)
+    # A group is named after its first row in this order, so a row stays if it names its group.
+    rank = F.struct(F.col("row__.doc_id").isNull().alias("unknown"), F.col("row__.doc_id").alias("doc_id"), F.col("at__").alias("at"))
+    groups = jaccard.jaccard_components(rows.select(rank.alias("doc_id"), F.col("row__.text").alias("text")), count_links=False)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id.at").alias("at__"))
+    return rows.join(gone, "at__", "left_anti").select("row__.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes that repeated passages cover (no part of a character stays); n_chars follows."""
-    cut = suffix_dedup.without_repeats(_packed(docs), keep=["rest__"])
+    cut = suffix_dedup.without_repeats(_packed(docs), keep=["rest__"], length=PASSAGE_BYTES)
     out = _unpacked(cut, docs.columns, "kept_text")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -54,7 +67,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of what is left."""
     import public_tokenizers
 
-    return sentencepiece_bpe.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return sentencepiece_bpe.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), cached=CACHED_WORDS).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
@@ -70,7 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch(spark, f"pipeline-{name}")
+        with passing_tables():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
