@@ -43,36 +43,41 @@ def garbled(pages: DataFrame, config: QualityConfig | None = None) -> DataFrame:
     }).drop("words__", "found__")
 
 
-#: Judged words up to which every task gets them all (some 60 bytes each).
+#: Judged tokens up to which every task gets them all (some 60 bytes each).
 BROADCAST_WORDS = 2_000_000
-#: Beyond that, words that make up more than one in so many of the (page, word) pairs go to every task.
+#: Beyond that, tokens that make up more than one in so many of the (page, token) pairs go to every task.
 HOT_SHARE = 100_000
 
 
-def judged_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Rows (word, known, valid) of the distinct words: in the vocabulary, or built like a word."""
+def token_words(tokens: DataFrame) -> DataFrame:
+    """Rows (token, word) of the distinct tokens of a column `token` whose word counts."""
+    return tokens.select("token").distinct().withColumn("word", T.dictionary_word(F.col("token"))).where(T.is_scored(F.col("word")))
+
+
+def judged_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Rows (token, known, valid) of the distinct tokens that count: in the vocabulary, or built like a word."""
     listed = vocab.select(F.col("word").alias("lower__")).distinct().withColumn("known", F.lit(True))
-    each = words.select("word").distinct().withColumn("lower__", F.lower("word")).join(listed, "lower__", "left")
+    each = token_words(tokens).withColumn("lower__", F.lower("word")).join(listed, "lower__", "left")
     known = F.coalesce("known", F.lit(False))
-    return each.select("word", known.alias("known"), (known | T.structurally_valid(F.col("word"))).alias("valid"))
+    return each.select("token", known.alias("known"), (known | T.structurally_valid(F.col("word"))).alias("valid"))
 
 
 def dictionary(pages: DataFrame, vocab: DataFrame, key: list[str]) -> DataFrame:
     """Rows key + (known, structured, unknown, scored, dictionary_score) for every page.
 
-    Distinct words are judged once and meet the pages' words again by a broadcast of checked size. A larger
-    table is split: its commonest words (a bounded number) are broadcast, the others meet the counted words
-    of each page by a shuffle in which no word is hot.
+    Distinct tokens are judged once and meet the pages' tokens again by a broadcast of checked size. A larger
+    table is split: its commonest tokens (a bounded number) are broadcast, the others meet the counted tokens
+    of each page by a shuffle in which no token is hot.
     """
-    words = pages.select(*key, F.explode(T.tokens(F.col("text"))).alias("token")).select(*key, T.dictionary_word(F.col("token")).alias("word")).where(T.is_scored(F.col("word")))
-    judged = stored(judged_words(words, vocab), "judged-words")
+    tokens = pages.select(*key, F.explode(T.tokens(F.col("text"))).alias("token"))
+    judged = stored(judged_tokens(tokens, vocab), "judged-tokens")
     if judged.count() <= BROADCAST_WORDS:
-        marked = words.join(F.broadcast(judged), "word").withColumn("n", F.lit(1).cast("long"))
+        marked = tokens.join(F.broadcast(judged), "token").withColumn("n", F.lit(1).cast("long"))
     else:
-        counted = stored(words.groupBy(*key, "word").agg(F.count("*").alias("n")), "page-words")
-        hot = counted.groupBy("word").agg(F.count("*").alias("pages")).where(F.col("pages") > counted.count() // HOT_SHARE).select("word")
-        hot = stored(judged.join(hot, "word"), "hot-words")  # HOT_SHARE rows at most
-        marked = counted.join(F.broadcast(hot), "word").unionByName(counted.join(F.broadcast(hot), "word", "left_anti").join(judged, "word"))
+        counted = stored(tokens.groupBy(*key, "token").agg(F.count("*").alias("n")), "page-tokens")
+        hot = counted.groupBy("token").agg(F.count("*").alias("pages")).where(F.col("pages") > counted.count() // HOT_SHARE).select("token")
+        hot = stored(judged.join(hot, "token"), "hot-tokens")  # HOT_SHARE rows at most
+        marked = counted.join(F.broadcast(hot), "token").unionByName(counted.join(F.broadcast(hot), "token", "left_anti").join(judged, "token"))
     known, valid, n = F.col("known"), F.col("valid"), F.col("n")
     share = lambda which: F.sum(F.when(which, n).otherwise(0))
     counts = marked.groupBy(*key).agg(share(known).alias("known"), share(~known & valid).alias("structured"), share(~valid).alias("unknown"), F.sum(n).alias("scored"))
@@ -149,5 +154,6 @@ def bad_pages(scored: DataFrame, key: list[str]) -> DataFrame:
 def vocabulary(documents: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
     """Words of at least `least` documents of good quality."""
     good = documents.join(labels.where("quality = 1").select("doc_id"), "doc_id")
-    words = good.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("t")).select("doc_id", F.lower(T.dictionary_word(F.col("t"))).alias("word")).where(T.is_scored(F.col("word")))
+    tokens = good.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
+    words = tokens.select("doc_id", F.lower(T.dictionary_word(F.col("token"))).alias("word")).where(T.is_scored(F.col("word")))
     return words.distinct().groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
