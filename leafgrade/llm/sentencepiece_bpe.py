@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import bound_batches, caches, text_batches
 
 MARK = "▁"
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 900_000
 #: Chunks of more characters than this take the heap.
 LONG = 48
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
@@ -256,7 +256,7 @@ def encode_pieces(docs: DataFrame, model_path: str, keep: list[str] | None = Non
 
     def run(batches):
         m = model(model_path)
-        for part, _, _ in text_batches(batches, cache="pieces"):
+        for part, _, _ in text_batches(batches, most=1 << 20, cache="pieces"):
             texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
             before = m.corrected
             coded = m.encode(texts, cached)
