@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             docs, sizes, ids, count = [], [], [], 0
             return row.select(["part", "file", "n_docs", "n_tokens", "bytes"])
 
-        for rows, buf, off in text_batches(batches, cache="words"):
+        for rows, buf, off in text_batches(batches, most=1 << 20, cache="words"):
             raw = buf.tobytes()
             for d, e in zip(rows.column(0).to_pylist(), tokenizer.encode([raw[i:j] for i, j in zip(off, off[1:], strict=False)]), strict=True):
                 docs.append(d)
