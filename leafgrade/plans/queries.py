@@ -33,7 +33,7 @@ def _inputs(d: str) -> list[str]:
 
 
 def _vocab(spark: SparkSession, d: str) -> DataFrame:
-    return derived(spark, _inputs(d), "vocabulary", lambda: signals.vocabulary(sources.table(spark, d, "documents"), sources.table(spark, d, "labels")))
+    return derived(spark, _inputs(d), "vocabulary", lambda: signals.vocabulary(sources.document_pages(spark, d), sources.table(spark, d, "labels")))
 
 
 def _dictionary(spark: SparkSession, d: str) -> DataFrame:

@@ -22,7 +22,9 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         docs = table(spark, sf_dir, "documents")
         numbers = placed(docs.select("source", "doc_id"), ["source"], ["doc_id"], "page_number")
-        return docs.select("doc_id", "text").join(numbers, "doc_id").select(F.col("source").alias("filename"), "page_number", "text", "doc_id")
+        # A named number of parts, which no later step joins, so that reading the table is spread as well.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return docs.select("doc_id", "text").repartition(parts, "doc_id").join(numbers.repartition(parts, "doc_id"), "doc_id").select(F.col("source").alias("filename"), "page_number", "text", "doc_id")
 
     return derived(spark, [f"{sf_dir}/documents.parquet"], "pages", make)
 
