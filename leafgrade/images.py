@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.numbers import rounded
+
 MEASURES = "contrast double, blur_score double, skew_angle double, image_error string"
 #: Near-horizontal lines only: degrees on either side.
 MOST_SKEW = 45.0
@@ -106,7 +108,7 @@ def image_quality(images: DataFrame, decode: Callable[[bytes], tuple[int, int, b
 def mean_dpi(resolutions: str):
     """Mean of the positive resolutions of an array column; null without one."""
     there = F.filter(F.col(resolutions), lambda x: x > 0)
-    return F.when(F.size(there) > 0, F.round(F.aggregate(there, F.lit(0.0), lambda s, x: s + x) / F.size(there), 2))
+    return F.when(F.size(there) > 0, rounded(F.aggregate(there, F.lit(0.0), lambda s, x: s + x) / F.size(there), 2))
 
 
 def skew_of_lines(lines: DataFrame, key: list[str]) -> DataFrame:
@@ -114,4 +116,4 @@ def skew_of_lines(lines: DataFrame, key: list[str]) -> DataFrame:
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     angle = F.degrees(F.atan2(dy.cast("double"), dx.cast("double")))
     near = lines.where(dx != 0).withColumn("angle__", angle).where(F.abs("angle__") < MOST_SKEW)
-    return near.groupBy(*key).agg(F.round(F.median("angle__"), 2).alias("skew_angle"), F.count("*").alias("n_lines"))
+    return near.groupBy(*key).agg(rounded(F.median("angle__"), 2).alias("skew_angle"), F.count("*").alias("n_lines"))

@@ -9,6 +9,7 @@ from .. import sources
 from ..functions import lexicon as L
 from ..functions import tokens as T
 from ..functions import transforms as X
+from ..functions.numbers import rounded
 from ..operators import batching, coverage, diagnostics, rollups, signals
 from ..scratch import derived
 from . import oracle as O
@@ -65,7 +66,7 @@ def token_stats(spark, d):
 @query(f"WITH {O.TOKENS} SELECT filename, page_number, total_words, garbled_count, round(garbled_score, 6) AS garbled_score, garbled_score >= 0.85 AS passed FROM gar")
 def garbled_by_page(spark, d):
     g = signals.garbled(sources.document_pages(spark, d))
-    return g.select(*KEY, F.col("total_words").cast("long"), F.col("garbled_count").cast("long"), F.round("garbled_score", 6).alias("garbled_score"), (F.col("garbled_score") >= 0.85).alias("passed"))
+    return g.select(*KEY, F.col("total_words").cast("long"), F.col("garbled_count").cast("long"), rounded("garbled_score", 6).alias("garbled_score"), (F.col("garbled_score") >= 0.85).alias("passed"))
 
 
 @query(f"WITH {O.TOKENS} SELECT t AS issue, count(*) AS n, count(DISTINCT w) AS n_words FROM iss WHERE t IS NOT NULL GROUP BY t")
@@ -115,13 +116,13 @@ def confidence_by_page(spark, d):
     conf = lambda x, i: F.struct(x.alias("text"), ((F.length(x) * 7 + i * 13) % 101).cast("int").alias("conf"))
     pages = sources.document_pages(spark, d).withColumn("words", F.transform(T.tokens(F.col("text")), conf))
     out = pages.select(*KEY, "words").withColumns(signals.confidence(F.col("words")))
-    return out.select(*KEY, F.col("word_count").cast("long"), F.round("confidence_score", 6).alias("confidence_score"), "min_conf", F.size("low_words").cast("long").alias("n_low"))
+    return out.select(*KEY, F.col("word_count").cast("long"), rounded("confidence_score", 6).alias("confidence_score"), "min_conf", F.size("low_words").cast("long").alias("n_low"))
 
 
 @query(f"WITH {O.QUALITY} SELECT filename, page_number, round(garbled_score, 6) AS garbled_score, dictionary_score, round(score, 6) AS score, flagged FROM q")
 def composite_quality(spark, d):
     """The flagship: all signals of every page, its composite score and flag."""
-    return quality(spark, d).select(*KEY, F.round("garbled_score", 6).alias("garbled_score"), "dictionary_score", F.round("score", 6).alias("score"), "flagged")
+    return quality(spark, d).select(*KEY, rounded("garbled_score", 6).alias("garbled_score"), "dictionary_score", rounded("score", 6).alias("score"), "flagged")
 
 
 @query(f"""WITH {O.QUALITY}, m AS (SELECT filename, page_number, {_CONF.replace("ws[i]", "filename").replace("(i - 1)", "page_number")} / 100.0 AS c, garbled_score AS g, dictionary_score AS s FROM q), x AS (SELECT *, 0.4 * g + 0.3 * s + 0.3 * c AS b FROM m), y AS (SELECT *, CASE WHEN c > 0.95 THEN greatest(b, 0.9) WHEN c < 0.2 THEN least(b, 0.3) ELSE b END AS score FROM x)
@@ -130,17 +131,17 @@ def composite_with_confidence(spark, d):
     """The composite of three signals with its limits; the confidence comes from file and page number."""
     q = quality(spark, d).withColumn("c", ((F.length("filename") * 7 + F.col("page_number") * 13) % 101) / 100.0)
     q = q.withColumn("score", signals.composite(F.col("garbled_score"), F.col("dictionary_score"), F.col("c")))
-    return q.select(*KEY, F.round("score", 6).alias("score"), signals.is_flagged(F.col("score"), F.col("garbled_score"), F.col("dictionary_score"), F.col("c")).alias("flagged"))
+    return q.select(*KEY, rounded("score", 6).alias("score"), signals.is_flagged(F.col("score"), F.col("garbled_score"), F.col("dictionary_score"), F.col("c")).alias("flagged"))
 
 
 @query(f"WITH {O.QUALITY} SELECT filename, page_number, round(score, 6) AS score FROM q WHERE flagged")
 def flagged_pages(spark, d):
-    return quality(spark, d).where("flagged").select(*KEY, F.round("score", 6).alias("score"))
+    return quality(spark, d).where("flagged").select(*KEY, rounded("score", 6).alias("score"))
 
 
 @query(f"WITH {O.QUALITY} SELECT filename, page_number, round(score, 6) AS score FROM q WHERE abs(score - 0.85) < 0.05")
 def gray_zone(spark, d):
-    return quality(spark, d).where(signals.in_gray_zone(F.col("score"))).select(*KEY, F.round("score", 6).alias("score"))
+    return quality(spark, d).where(signals.in_gray_zone(F.col("score"))).select(*KEY, rounded("score", 6).alias("score"))
 
 
 @query(f"WITH {O.STRUGGLE} SELECT filename, page_number, magnitude, magnitude > 0.3 AS has_disagreement FROM dg")
@@ -234,7 +235,7 @@ _FILES = f"fl AS (SELECT filename, count(*) AS page_count, round(avg(score), 6)
 
 @query(f"WITH {O.QUALITY}, {_FILES} SELECT * FROM fl")
 def file_rollup(spark, d):
-    return rollups.file_rollup(_engine(quality(spark, d))).withColumn("quality_score", F.round("quality_score", 6))
+    return rollups.file_rollup(_engine(quality(spark, d))).withColumn("quality_score", rounded("quality_score", 6))
 
 
 @query("SELECT id, engine FROM (VALUES (0, 'none'), (1, 'surya'), (2, 'mixed'), (3, 'tesseract'), (4, 'none')) t(id, engine)")
@@ -252,7 +253,7 @@ def batch_summary(spark, d):
 @query(f"WITH {O.STRUGGLE}, base AS (SELECT filename, count(*) AS total_pages, count(*) FILTER (flagged) AS flagged_pages, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, count(*) FILTER (magnitude > 0.3) AS disagreements FROM dg GROUP BY filename), c AS (SELECT filename, category, count(*) AS n FROM (SELECT filename, unnest(struggle) AS category FROM dg) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY n DESC, category) AS k FROM c) SELECT base.*, round(100.0 * flagged_pages / total_pages, 2) AS flagged_pct, (SELECT string_agg(category, ',' ORDER BY k) FROM r WHERE r.filename = base.filename AND k <= 3) AS dominant FROM base")
 def document_summary(spark, d):
     out = rollups.document_summary(diagnosed(spark, d))
-    return out.withColumns({"min_score": F.round("min_score", 6), "max_score": F.round("max_score", 6), "dominant": F.array_join("dominant", ",")})
+    return out.withColumns({"min_score": rounded("min_score", 6), "max_score": rounded("max_score", 6), "dominant": F.array_join("dominant", ",")})
 
 
 @query(f"WITH {O.QUALITY}, f AS (SELECT filename, page_number, row_number() OVER (ORDER BY filename, page_number) - 1 AS batch_index FROM q WHERE flagged) SELECT filename, page_number, batch_index, batch_index // 11 AS sub_batch, batch_index % 11 AS idx_in_batch FROM f")
@@ -278,7 +279,7 @@ def second_pass_writeback(spark, d):
     batches = batching.in_batches(batching.indexed(signals.bad_pages(q, KEY), KEY), 11)
     texts = batches.where("idx_in_batch < 9").select("sub_batch", "idx_in_batch", F.concat(F.lit("read "), F.col("filename")).alias("new_text"), (F.col("idx_in_batch") / 10.0).alias("new_score"))
     out = batching.write_back(q, batches, texts)
-    return out.select(*KEY, "engine", F.round("score", 6).alias("score"), "flagged")
+    return out.select(*KEY, "engine", rounded("score", 6).alias("score"), "flagged")
 
 
 @query(f"WITH {O.PAGES}, r AS (SELECT filename, page_number, row_number() OVER (PARTITION BY filename ORDER BY page_number) - 1 AS k FROM pages_ WHERE page_number % 3 = 1) SELECT filename, page_number, CASE WHEN k < 4 THEN 'new ' || k ELSE md5(text) END AS content FROM pages_ LEFT JOIN r USING (filename, page_number)")
@@ -366,8 +367,8 @@ def engine_diff(spark, d):
 @query(None)
 def result_json(spark, d):
     """Each file's record with its pages as JSON, null fields left out."""
-    q = _engine(quality(spark, d)).withColumns({"quality_score": F.round("score", 6), "status": F.when(F.col("flagged"), "flagged").otherwise("good")})
-    files = rollups.file_rollup(q).withColumns({"quality_score": F.round("quality_score", 6), "success": F.lit(True)})
+    q = _engine(quality(spark, d)).withColumns({"quality_score": rounded("score", 6), "status": F.when(F.col("flagged"), "flagged").otherwise("good")})
+    files = rollups.file_rollup(q).withColumns({"quality_score": rounded("quality_score", 6), "success": F.lit(True)})
     return rollups.file_json(files, q)
 
 
@@ -375,7 +376,7 @@ def result_json(spark, d):
 def progress_by_hour(spark, d):
     """Progress events by hour and type."""
     e = sources.table(spark, d, "events")
-    return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+    return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), rounded(F.sum("value"), 4).alias("total"))
 
 
 @query(f"WITH {O.STRUGGLE}, e AS (SELECT filename, page_number, unnest(struggle) AS category FROM dg), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY filename, page_number) AS r FROM e) SELECT category, count(*) AS n, string_agg(filename || ':' || page_number, ',' ORDER BY r) FILTER (r <= 5) AS first_pages, greatest(count(*) - 5, 0) AS n_more FROM r GROUP BY category")
@@ -387,7 +388,7 @@ def coverage_report(spark, d):
 
 @query(f"WITH {O.QUALITY}, {_FILES} SELECT filename, CAST(page_count AS VARCHAR) AS pages, printf('%.1f%%', quality_score * 100) AS quality, engine FROM fl")
 def summary_table(spark, d):
-    files = rollups.file_rollup(_engine(quality(spark, d))).withColumns({"quality_score": F.round("quality_score", 6), "success": F.lit(True)})
+    files = rollups.file_rollup(_engine(quality(spark, d))).withColumns({"quality_score": rounded("quality_score", 6), "success": F.lit(True)})
     return rollups.summary_table(files)
 
 

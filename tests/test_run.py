@@ -140,3 +140,20 @@ def test_rest_imports_without_the_subpackage():
     code = "import sys; sys.modules['leafgrade.llm'] = None; import __spark_entry__ as e; assert 'composite_quality' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_json_records_round_and_print_like_their_sql(spark, tmp_path):
+    import duckdb
+
+    bad, good = ["xkjhgfdq"], ["banana"]
+    texts = [" ".join(["window"] * 57 + bad * 343), " ".join(["window"] + bad * 1199), " ".join(good * 30), "window " * 30]
+    spark.createDataFrame([(i, t, "s", f"src{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("result_json", "page_records"):
+        want = con.sql(queries.ORACLE_SQL[name])
+        got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect())
+        assert got == sorted(want.fetchall())
+        assert any('"quality_score":0.00018,' in r[-1] for r in got) and any('"quality_score":0.03204,' in r[-1] for r in got)
