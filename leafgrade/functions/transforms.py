@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -118,6 +118,23 @@ def postprocess(text: Column, chains: bool = False) -> tuple[Column, dict[str, C
     return d, {"unicode_normalizations": unicode_, "dehyphenations": hyphens, "paragraph_joins": joins, "punctuation_fixes": fixes}
 
 
+def cleaned_columns(rows: DataFrame, text: str) -> DataFrame:
+    """The steps after normalize_unicode on a column of rows, with their counts as columns.
+
+    The same as in postprocess; every step is a column of its own, so that none is evaluated again by the next.
+    """
+    rows = rows.withColumns(dict(zip((text, "dehyphenations"), dehyphenate(F.col(text)), strict=True)))
+    rows = rows.withColumns(dict(zip((text, "paragraph_joins"), join_paragraphs(F.col(text)), strict=True))).withColumn("punctuation_fixes", F.lit(0))
+    for pattern, new in _PUNCTUATION:
+        rows = rows.withColumns({"punctuation_fixes": F.col("punctuation_fixes") + F.regexp_count(text, F.lit(pattern)), text: F.regexp_replace(text, pattern, new)})
+    return rows
+
+
+#: A page that begins so is not drawn to the page before by any step. It is for texts as they were, so it looks
+#: past soft hyphens, which go, and counts the Greek question mark, which NFC makes a semicolon.
+BEGINS_ANEW = r"(?U)^[\s\x1c-\x1f\xad]*[^\s\x1c-\x1f\xad.,;:!?\u037e]"
+
+
 def split_markdown(text: Column, pages: Column) -> Column:
     """Exactly `pages` parts: at rules, else at runs of three line breaks, else all in the first."""
     rules, breaks = F.split(text, "\n-{3,}\n"), F.split(text, "\n{3,}")
